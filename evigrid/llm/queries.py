@@ -1,12 +1,17 @@
 """The registered queries of this folder: each applies its operator to its whole tables."""
-from pyspark.sql import functions as F
-
 from .chat import digests, message_events, render
 from .common import table
+from .decontamination import decontaminate
 from .license_scan import scan_licenses
+from .minhash import near_duplicates
 from .sharding import reshard
 from .token_counts import count_tokens
 from .toxicity import score_toxicity
+from .vector_dedup import near_vectors
+
+
+def op2_decontamination(spark, sf_dir):
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op3_toxicity(spark, sf_dir):
@@ -21,6 +26,10 @@ def op6_resharding(spark, sf_dir):
     return reshard(table(spark, sf_dir, "documents"))
 
 
+def op7_vector_dedup(spark, sf_dir):
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op8_token_counts(spark, sf_dir):
     return count_tokens(table(spark, sf_dir, "documents"))
 
@@ -32,6 +41,10 @@ def op9_chat_formatting(spark, sf_dir):
     return digests(render(message_events(rows)))
 
 
-QUERIES = {f.__name__: f for f in (op3_toxicity, op5_license_scan, op6_resharding, op8_token_counts, op9_chat_formatting)}
+def op10_minhash_dedup(spark, sf_dir):
+    return near_duplicates(table(spark, sf_dir, "documents"), size=3, part=85, whole=100)
+
+
+QUERIES = {f.__name__: f for f in (op2_decontamination, op3_toxicity, op5_license_scan, op6_resharding, op7_vector_dedup, op8_token_counts, op9_chat_formatting, op10_minhash_dedup)}
 ORACLE: dict[str, str] = {}
-__all__ = ["F", "ORACLE", "QUERIES"]
+__all__ = ["ORACLE", "QUERIES"]
