@@ -3,13 +3,19 @@ from .chat import digests, message_events, render
 from .common import table
 from .decontamination import decontaminate
 from .license_scan import scan_licenses
+from .lm_scoring import score_documents
 from .minhash import near_duplicates
+from .sentencepiece_codec import codec_report
 from .sharding import reshard
 from .token_counts import count_tokens
 from .toxicity import score_toxicity
 from .vector_dedup import near_vectors
 
 
+def op1_lm_scoring(spark, sf_dir):
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op2_decontamination(spark, sf_dir):
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -18,6 +24,10 @@ def op3_toxicity(spark, sf_dir):
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_sentencepiece(spark, sf_dir):
+    return codec_report(table(spark, sf_dir, "documents"))
+
+
 def op5_license_scan(spark, sf_dir):
     return scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -45,6 +55,6 @@ def op10_minhash_dedup(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"), size=3, part=85, whole=100)
 
 
-QUERIES = {f.__name__: f for f in (op2_decontamination, op3_toxicity, op5_license_scan, op6_resharding, op7_vector_dedup, op8_token_counts, op9_chat_formatting, op10_minhash_dedup)}
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_decontamination, op3_toxicity, op4_sentencepiece, op5_license_scan, op6_resharding, op7_vector_dedup, op8_token_counts, op9_chat_formatting, op10_minhash_dedup)}
 ORACLE: dict[str, str] = {}
 __all__ = ["ORACLE", "QUERIES"]
