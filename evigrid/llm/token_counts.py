@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 from .common import small_batches, tokenizer_path
 
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 32_000_000
 BLOCK_DOCS = 60_000
-PACKED = "token string, block string, places binary, counts binary, ids array<bigint>, hashes array<bigint>, n_bytes array<bigint>"
+PACKED = "token string, block string, places binary, counts binary, ids array<bigint>, n_bytes array<bigint>"
 #: Letters, digits and blanks among U+0000 to U+00FF, as the file's pattern classes them (fixed values).
 L1 = "a-zA-ZªµºÀ-ÖØ-öø-ÿ"
 N1 = "0-9²³¹¼-¾"
@@ -74,18 +74,18 @@ def _pack(path: str):
         pre = PreTokenizer(path)
         part, n_block = TaskContext.get().partitionId(), 0
         vocab: dict = {}
-        terms, places, ids, hashes, sizes, specials, chars = [], [], [], [], [], [], 0
+        terms, places, ids, sizes, specials, chars = [], [], [], [], [], 0
 
         def flush():
-            nonlocal vocab, terms, places, ids, hashes, sizes, specials, chars, n_block
+            nonlocal vocab, terms, places, ids, sizes, specials, chars, n_block
             if not ids:
                 return
-            block = f"{part}:{n_block}"
+            block = f"{part}:{n_block}:{len(ids)}"
             n_block += 1
             term = np.concatenate(terms) if terms else np.empty(0, np.int64)
             place = np.concatenate(places) if places else np.empty(0, np.int64)
             terms, places = [], []
-            key, count = np.unique(term * BLOCK_DOCS + place, return_counts=True)
+            key, count = np.unique(term.astype(np.int64) * BLOCK_DOCS + place, return_counts=True)
             while (big := count > 255).any():  # a long run becomes several entries
                 key = np.concatenate([key, key[big]])
                 count = np.concatenate([np.where(big, 255, count), count[big] - 255])
@@ -104,24 +104,23 @@ def _pack(path: str):
                 yield pa.RecordBatch.from_arrays([
                     pa.array(names[lo:hi], pa.string()), pa.array([block] * n, pa.string()),
                     pa.array([packed[2 * at[i]:2 * at[i + 1]] for i in range(lo, hi)], pa.binary()),
-                    pa.array([counted[at[i]:at[i + 1]] for i in range(lo, hi)], pa.binary()), nothing, nothing, nothing],
-                    ["token", "block", "places", "counts", "ids", "hashes", "n_bytes"])
+                    pa.array([counted[at[i]:at[i + 1]] for i in range(lo, hi)], pa.binary()), nothing, nothing],
+                    ["token", "block", "places", "counts", "ids", "n_bytes"])
             yield pa.RecordBatch.from_arrays([
                 pa.array(["\0" + block], pa.string()), pa.array([block], pa.string()), pa.array([np.array(specials, "<u4").tobytes()], pa.binary()), pa.array([None], pa.binary()),
-                pa.array([ids], pa.list_(pa.int64())), pa.array([hashes], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64()))],
-                ["token", "block", "places", "counts", "ids", "hashes", "n_bytes"])
-            ids, hashes, sizes, specials, chars = [], [], [], [], 0
+                pa.array([ids], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64()))],
+                ["token", "block", "places", "counts", "ids", "n_bytes"])
+            ids, sizes, specials, chars = [], [], [], 0
 
         for batch in batches:
-            for doc, h, text in zip(batch.column("doc_id").to_pylist(), batch.column("h").to_pylist(), batch.column("text").to_pylist()):
+            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 text = text or ""
                 words, n = pre.words(text)
                 if words:
-                    found = np.fromiter((vocab.setdefault(w, len(vocab)) for w in words), np.int64, len(words))
+                    found = np.fromiter((vocab.setdefault(w, len(vocab)) for w in words), np.int32, len(words))
                     terms.append(found)
-                    places.append(np.full(len(found), len(ids), np.int64))
+                    places.append(np.full(len(found), len(ids), np.int32))
                 ids.append(doc)
-                hashes.append(h)
                 sizes.append(len(text.encode()))
                 specials.append(n)
                 chars += len(text)
@@ -132,56 +131,113 @@ def _pack(path: str):
     return run
 
 
-def _sum(path: str, most: int = 2_000_000):
+def ragged(column, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of a binary column end to end, and how many each row has."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    ends = np.frombuffer(column.buffers()[1], "<i4", len(column) + 1, 4 * column.offset)
+    flat = np.frombuffer(column.buffers()[2] or b"", kind, (ends[-1] - ends[0]) // np.dtype(kind).itemsize, int(ends[0])) if ends[-1] > ends[0] else np.empty(0, kind)
+    return flat, np.diff(ends) // np.dtype(kind).itemsize
+
+
+def runs(column) -> tuple[list, np.ndarray]:
+    """The values of neighbouring equal rows, and how many rows each has."""
+    import pyarrow.compute as pc
+
+    found = pc.run_end_encode(column)
+    ends = found.run_ends.to_numpy(zero_copy_only=False)
+    return found.values.to_pylist(), np.diff(np.concatenate([[0], ends]))
+
+
+class Sums:
+    """Sums by block and place of a bounded number of blocks; a block's name ends in its size."""
+
+    def __init__(self, most: int = 3_000_000):
+        self.most, self.start, self.flat = most, {}, np.zeros(0, np.int64)
+
+    def add(self, blocks: list, rows: np.ndarray, place: np.ndarray, n: np.ndarray) -> None:
+        """rows gives for each place the index into blocks."""
+        first = np.zeros(len(blocks), np.int64)
+        top = len(self.flat) if not self.start else self.end
+        for i, b in enumerate(blocks):
+            if b not in self.start:
+                self.start[b] = top
+                top += int(b.rpartition(":")[2])
+            first[i] = self.start[b]
+        self.end = top
+        if top > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(top * 2 - len(self.flat), np.int64)])
+        np.add.at(self.flat, first[rows] + place, n)
+
+    @property
+    def full(self) -> bool:
+        return bool(self.start) and self.end > self.most
+
+    def take(self):
+        """(block, places, sums) of what has come together, which is then forgotten."""
+        for block, at in self.start.items():
+            got = self.flat[at:at + int(block.rpartition(":")[2])]
+            some = np.flatnonzero(got)
+            if len(some):
+                yield block, some.astype("<u2"), got[some]
+        self.start, self.flat = {}, np.zeros(0, np.int64)
+
+
+def _sum(path: str):
     """Rows come sorted by token: each token is encoded once, its counts go to the documents' sums."""
 
     def run(batches):
         pre = PreTokenizer(path)
-        sums: dict = {}  # block to a growing array of sums by place
-        held, last, last_n = 0, None, 0
+        sums = Sums()
+        names = ["block", "places", "sums", "ids", "n_bytes"]
+        nothing = pa.nulls(1, pa.list_(pa.int64()))
 
         def out():
-            nonlocal sums, held
-            for block, got in sums.items():
-                at = np.flatnonzero(got)
-                yield pa.RecordBatch.from_arrays([pa.array([block] * len(at), pa.string()), pa.array(at), pa.array(got[at])] + [pa.nulls(len(at), pa.int64())] * 3, ["block", "place", "n", "doc_id", "h", "n_bytes"])
-            sums, held = {}, 0
+            for block, place, n in sums.take():
+                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([place.tobytes()], pa.binary()), pa.array([n.astype("<i8").tobytes()], pa.binary()), nothing, nothing], names)
 
         for batch in batches:
-            names = batch.column("token").to_pylist()
-            fresh, order = [], {}
-            for t in names:
-                if t != last and t not in order and not t.startswith("\0"):
-                    order[t] = len(fresh)
-                    fresh.append(t)
-            n = pre.counts(fresh)
-            rows = zip(names, batch.column("block").to_pylist(), batch.column("places").to_pylist(), batch.column("counts").to_pylist(), batch.column("ids"), batch.column("hashes"), batch.column("n_bytes"))
-            for t, block, place, count, ids, hashes, sizes in rows:
-                if t.startswith("\0"):
-                    special = np.frombuffer(place, "<u4").astype(np.int64)
-                    k = len(special)
-                    yield pa.RecordBatch.from_arrays([pa.array([block] * k, pa.string()), pa.array(np.arange(k)), pa.array(special), ids.values, hashes.values, sizes.values], ["block", "place", "n", "doc_id", "h", "n_bytes"])
-                    continue
-                if t != last:
-                    last, last_n = t, int(n[order[t]])
-                at = np.frombuffer(place, "<u2")
-                got = sums.get(block)
-                top = int(at[-1]) + 1
-                if got is None or len(got) < top:
-                    grown = np.zeros(max(top, 1024, 0 if got is None else 2 * len(got)), np.int64)
-                    if got is not None:
-                        grown[: len(got)] = got
-                        held -= len(got)
-                    sums[block] = got = grown
-                    held += len(grown)
-                np.add.at(got, at, np.frombuffer(count, "u1").astype(np.int64) * last_n)
-            if held > most:
+            special = batch.column("ids").is_valid()
+            for row in batch.filter(special).to_pylist():
+                n = np.frombuffer(row["places"], "<u4").astype("<i8")
+                yield pa.RecordBatch.from_arrays([pa.array([row["block"]]), pa.array([np.arange(len(n), dtype="<u2").tobytes()], pa.binary()), pa.array([n.tobytes()], pa.binary()), pa.array([row["ids"]], pa.list_(pa.int64())), pa.array([row["n_bytes"]], pa.list_(pa.int64()))], names)
+            rest = batch.filter(pa.array(~special.to_numpy(zero_copy_only=False)))
+            if not rest.num_rows:
+                continue
+            tokens, times = runs(rest.column("token"))
+            n = np.repeat(pre.counts(tokens), times)
+            place, k = ragged(rest.column("places"), "<u2")
+            count, _ = ragged(rest.column("counts"), "u1")
+            coded = rest.column("block").dictionary_encode()
+            rows = np.repeat(coded.indices.to_numpy(), k)
+            sums.add(coded.dictionary.to_pylist(), rows, place.astype(np.int64), count * np.repeat(n, k))
+            if sums.full:
                 yield from out()
         yield from out()
 
     return run
 
 
+def _whole(batches):
+    """Rows come sorted by block: its packed sums become a row for each document."""
+    block, ids, sizes, total = None, None, None, None
+    names = ["doc_id", "n_bytes", "n_tokens"]
+
+    def out():
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(total)], names)
+
+    for batch in batches:
+        for row in batch.to_pylist():
+            if row["block"] != block:
+                if block is not None:
+                    yield out()
+                block, total = row["block"], np.zeros(int(row["block"].rpartition(":")[2]), np.int64)
+            total[np.frombuffer(row["places"], "<u2")] += np.frombuffer(row["sums"], "<i8")
+            if row["ids"] is not None:
+                ids, sizes = row["ids"], row["n_bytes"]
+    if block is not None:
+        yield out()
+
+
 def count_tokens(docs: DataFrame, tokenizer: str | None = None, limit: int = 2048) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for every row of docs(doc_id, text).
 
@@ -192,8 +248,8 @@ def count_tokens(docs: DataFrame, tokenizer: str | None = None, limit: int = 204
     spark = docs.sparkSession
     small_batches(spark)
     path = tokenizer or tokenizer_path("word_bpe_49k.json")
-    packed = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("h"), "text").mapInArrow(_pack(path), PACKED)
+    packed = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_pack(path), PACKED)
     together = packed.repartition("token").sortWithinPartitions("token")
-    parts = together.mapInArrow(_sum(path), "block string, place bigint, n bigint, doc_id bigint, h bigint, n_bytes bigint")
-    whole = parts.groupBy("block", "place").agg(F.sum("n").alias("n_tokens"), F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"))
+    parts = together.mapInArrow(_sum(path), "block string, places binary, sums binary, ids array<bigint>, n_bytes array<bigint>")
+    whole = parts.repartition("block").sortWithinPartitions("block").mapInArrow(_whole, "doc_id bigint, n_bytes bigint, n_tokens bigint")
     return whole.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
