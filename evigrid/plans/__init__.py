@@ -1 +1,9 @@
-"""See the README for what this part holds."""
+"""The registered queries, by subject."""
+import importlib
+
+MODULES = ("records", "screening", "analytics", "statistics", "metrics", "texts", "graphs", "claims", "datasets", "streams")
+
+
+def load() -> None:
+    for name in MODULES:
+        importlib.import_module(f"{__name__}.{name}")
