@@ -1 +1,85 @@
-"""To come."""
+"""Claims made of documents and benchmark items, checked by the guards; citations against a library."""
+from pyspark.sql import functions as F
+
+from ..functions import text
+from ..operators import claims, joins
+from ..registry import query
+from ..sources.tables import table
+from .views import PAPERS_SQL, papers
+
+_ROWS = """r as (select doc_id, case when doc_id % 19 = 0 then 'error' when doc_id % 17 = 0 then 'no_full_text' when doc_id % 5 = 0 then 'needs_nuance' else 'verified' end as status, doc_id % 6 = 1 as off, doc_id % 7 = 2 as contra, doc_id % 10 = 3 as odd, length(trim(left(text, 80))) as q from documents)"""
+
+
+def claim_rows(spark, d):
+    """Each document's own beginning as the claim and the quote; some are made to fail one guard."""
+    n, t = F.col("doc_id"), F.col("text")
+    status = F.when(n % 19 == 0, "error").when(n % 17 == 0, "no_full_text").when(n % 5 == 0, "needs_nuance").otherwise("verified")
+    quote = F.trim(F.left(t, F.lit(80)))
+    verdict = F.when(n % 7 == 2, "contradicted").otherwise("supported")
+    return table(spark, d, "documents").select("doc_id", status.alias("status"), F.when(n % 10 == 3, F.concat(quote, F.lit(" 98765.25"))).otherwise(quote).alias("claim"),
+        F.when(n % 6 == 1, F.concat(F.lit("zqxj wholly invented words "), F.sha2(t, 256))).otherwise(quote).alias("quote"), F.array(t).alias("chunks"), F.array(F.struct(verdict.alias("verdict"), F.lit(True).alias("central"))).alias("assertions"))
+
+
+@query(f"""with {_ROWS}, a as (select *, case when status = 'no_full_text' then 'unsupported' else status end as s0 from r), b as (select *, s0 <> 'error' as live from a)
+select doc_id, case when not live then s0 when contra or s0 = 'unsupported' then 'unsupported' when odd then 'needs_nuance' when off and s0 = 'verified' then 'needs_nuance' else s0 end as final_status, contra and live as inconsistent, off and live and s0 = 'verified' and not contra as unquoted, odd and live as numeric_absent from b""")
+def claim_guards(spark, d):
+    g = claims.guarded(claim_rows(spark, d))
+    has = lambda r: F.array_contains("machine_reasons", r)
+    return g.select("doc_id", "final_status", has("assertion_status_inconsistent").alias("inconsistent"), has("quote_not_verbatim").alias("unquoted"), has("numeric_value_absent").alias("numeric_absent"))
+
+
+@query()
+def claim_status_counts(spark, d):
+    return claims.status_counts(claims.guarded(claim_rows(spark, d)))
+
+
+@query()
+def guard_reason_counts(spark, d):
+    return claims.reason_counts(claims.guarded(claim_rows(spark, d)))
+
+
+@query(f"""with {PAPERS_SQL}, lib as (select distinct lower(string_split(title, ' ')[-1]) as surname, case when id % 10 = 0 then null else cast(year as varchar) end as y from papers), c as (select o_orderkey, lower(string_split(p_name, ' ')[-1]) as surname, cast(1981 + o_custkey % 50 as varchar) as year from orders join part on p_partkey = 1 + o_orderkey % (select max(p_partkey) from part))
+select o_orderkey, exists (select 1 from lib where lib.surname = c.surname and lib.y = c.year) or exists (select 1 from lib where lib.surname = c.surname and lib.y is null) as found from c""")
+def citation_audit(spark, d):
+    p = papers(spark, d)
+    last = lambda c: F.lower(F.element_at(F.split(c, " "), -1))
+    lib = p.select(last("title").alias("surname"), F.when(F.col("id") % 10 == 0, None).otherwise(F.col("year").cast("string")).alias("year_key"))
+    top = table(spark, d, "part").agg(F.max("p_partkey")).collect()[0][0]
+    cites = table(spark, d, "orders").withColumn("k", 1 + F.col("o_orderkey") % top).join(table(spark, d, "part").select(F.col("p_partkey").alias("k"), "p_name"), "k").select("o_orderkey", last("p_name").alias("surname"), (1981 + F.col("o_custkey") % 50).cast("string").alias("year"))
+    return joins.audit(cites, lib).select("o_orderkey", "found")
+
+
+@query("""select c_custkey, lower(regexp_extract(c_name, '([^ #]+)', 1)) as surname, cast(1990 + c_custkey % 30 as varchar) as year from customer""")
+def citations_in_text(spark, d):
+    """The citation in a sentence made for each customer, found again in the running text."""
+    year = (1990 + F.col("c_custkey") % 30).cast("string")
+    name = F.regexp_extract("c_name", "([^ #]+)", 1)
+    s = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("it was shown that this holds ("), name, F.lit(" et al., "), year, F.lit(").")).alias("s")).otherwise(F.concat(F.lit("as "), name, F.lit(" ("), year, F.lit(") has argued.")))
+    docs = table(spark, d, "customer").select("c_custkey", s.alias("s"))
+    return claims.citation_keys(docs, "c_custkey", "s").select("c_custkey", "surname", "year")
+
+
+@query("""select p_partkey, list_sort(list_distinct([1 + p_partkey % 9, 3, 4, 5])) as numbers from part""")
+def bracket_citations(spark, d):
+    s = F.concat(F.lit("see ["), (1 + F.col("p_partkey") % 9).cast("string"), F.lit("] and [3-5], but not [400]"))
+    a = claims.numbered_citations(s, 20)
+    return table(spark, d, "part").select("p_partkey", F.array_sort(F.transform(a, lambda x: x.cast("bigint"))).alias("numbers"))
+
+
+@query("""select p_partkey, p_retailprice as value, p_partkey % 2 = 0 as percent from part where not (p_partkey % 2 <> 0 and p_retailprice between 1500 and 2100 and p_retailprice = floor(p_retailprice))""")
+def numerals_in_text(spark, d):
+    s = F.concat(F.lit("CTLA-4 in 1999: it cost "), F.format_string("%.2f", "p_retailprice"), F.when(F.col("p_partkey") % 2 == 0, "%").otherwise(""), F.lit(" of all"))
+    n = table(spark, d, "part").select("p_partkey", F.explode(claims.numerals(s)).alias("n"))
+    return n.select("p_partkey", "n.value", "n.percent")
+
+
+@query("""select doc_id, contains(regexp_replace(lower(text), '[^\\p{L}\\p{Nd}]', '', 'g'), regexp_replace(lower(left(text, 120)), '[^\\p{L}\\p{Nd}]', '', 'g')) as verbatim from documents where length(trim(left(text, 120))) >= 30""")
+def quotes_located(spark, d):
+    doc = table(spark, d, "documents").where("length(trim(left(text, 120))) >= 30")
+    return doc.select("doc_id", claims.located(F.left("text", F.lit(120)), F.array(F.col("text"))).alias("verbatim"))
+
+
+@query("""select c_custkey, lower(regexp_extract(c_name, '#?([0-9]+)$', 1)) as surname, 'Customer' as given from customer""")
+def author_names_split(spark, d):
+    n = text.family_given(F.replace(F.col("c_name"), F.lit("#"), F.lit(" ")))
+    return table(spark, d, "customer").select("c_custkey", F.lower(n["family"]).alias("surname"), n["given"].alias("given"))

@@ -132,9 +132,9 @@ def token_sets(spark, d):
     return table(spark, d, "part").select("p_partkey", F.concat(F.lit("The work of "), "p_name").alias("t"), F.array_sort(F.array_distinct(text.tokens("p_type"))).alias("toks"))
 
 
-@query(f"""with {PAPERS_SQL}, n as (select id, trim(regexp_replace(lower(title), '[^a-z0-9_ ]', '', 'g')) as k from papers where id <= 300) select a.id as lid, b.id as rid from n a join n b on (a.k = b.k or ((contains(a.k, b.k) or contains(b.k, a.k)) and least(length(a.k), length(b.k)) * 1.0 / greatest(length(a.k), length(b.k)) > 0.7)) where a.k <> '' and b.k <> ''""")
+@query(f"""with {PAPERS_SQL}, n as (select id, trim(regexp_replace(lower(title), '[^a-z0-9_ ]', '', 'g')) as k from papers) select a.id as lid, b.id as rid from n a join n b on (a.k = b.k or ((contains(a.k, b.k) or contains(b.k, a.k)) and least(length(a.k), length(b.k)) * 1.0 / greatest(length(a.k), length(b.k)) > 0.7)) where a.k <> '' and b.k <> ''""")
 def fuzzy_titles(spark, d):
-    p = papers(spark, d).where("id <= 300")
+    p = papers(spark, d)
     return joins.fuzzy_title_join(p.select(F.col("id").alias("lid"), "title"), p.select(F.col("id").alias("rid"), "title"))
 
 
