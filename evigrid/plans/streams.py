@@ -1 +1,38 @@
-"""To come."""
+"""Job events, as a stream run to its end and as batches."""
+from pyspark.sql import functions as F
+
+from ..registry import query
+from ..sources.tables import table
+from ..streaming import jobs
+
+
+def _drain(spark, stream, name: str, mode: str):
+    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.table(name)
+
+
+def _events(spark, d):
+    """Files named events.parquet of the folder, as a stream."""
+    schema = table(spark, d, "events").schema
+    return jobs.event_stream(spark, f"{d}/event[s].parquet", schema)
+
+
+@query("""select date_trunc('day', ts) as day, event_type, count(*) as n from events group by 1, 2""")
+def daily_events_streamed(spark, d):
+    """Windowed counts of a stream; all windows are taken at the end."""
+    s = jobs.month_counts(_events(spark, d))
+    t = _drain(spark, s, "daily_events_streamed", "complete")
+    return t.select(F.col("w.start").cast("timestamp_ntz").alias("day"), "event_type", "n")
+
+
+@query("""with j as (select user_id as job_id, ts, event_id, case event_type when 'purchase' then 'completed' when 'error' then 'failed' when 'click' then 'running' when 'view' then 'running' else 'cancelled' end as status from events) select job_id, case when bool_or(status = 'cancelled') then 'cancelled' else arg_max(status, (ts, status)) end as status, count(*) as n from j group by 1""")
+def job_final_states(spark, d):
+    kind = F.when(F.col("event_type") == "purchase", "completed").when(F.col("event_type") == "error", "failed").when(F.col("event_type").isin("click", "view"), "running").otherwise("cancelled")
+    return jobs.final_states(table(spark, d, "events").select(F.col("user_id").alias("job_id"), "ts", kind.alias("status")))
+
+
+@query("""select distinct user_id from events""")
+def first_seen_streamed(spark, d):
+    s = jobs.first_seen(_events(spark, d), "user_id", "3650 days")
+    return _drain(spark, s.select("user_id"), "first_seen_streamed", "append")
