@@ -3,6 +3,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import title_key
+from ..sources.tables import settled
 
 
 def best_by_doi(records: DataFrame, doi: str = "doi", cites: str = "citation_count", pos: str = "pos") -> DataFrame:
@@ -38,7 +39,7 @@ def link_components(keys: DataFrame, rounds: int = 30) -> DataFrame:
     for _ in range(rounds):
         by_key = now.groupBy("key").agg(F.min("component").alias("m"))
         by_pos = now.join(by_key, "key").groupBy("pos").agg(F.min("m").alias("component"))
-        now = keys.join(by_pos, "pos").checkpoint()
+        now = settled(keys.join(by_pos, "pos"))
         total = now.agg(F.sum("component")).collect()[0][0]
         if total == last:
             break

@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import div, wilson
+from ..sources.tables import settled
 
 
 def counts(label: str, pred: str) -> list[Column]:
@@ -27,7 +28,7 @@ def binary(df: DataFrame) -> DataFrame:
 def ranked(df: DataFrame, score: str, pos: str, parts: int = 64) -> DataFrame:
     """Adds rank from 1 by score descending, pos ascending, over the whole frame without one task
     ordering all of it: ranges of the order are numbered apart and shifted by the counts before."""
-    cut = df.repartitionByRange(parts, F.desc(score), F.asc(pos)).sortWithinPartitions(F.desc(score), F.asc(pos)).withColumn("_part", F.spark_partition_id()).checkpoint()
+    cut = settled(df.repartitionByRange(parts, F.desc(score), F.asc(pos)).sortWithinPartitions(F.desc(score), F.asc(pos)).withColumn("_part", F.spark_partition_id()))
     sizes = cut.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     start = sizes.withColumn("_start", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_part", "_start")
     inner = Window.partitionBy("_part").orderBy(F.desc(score), F.asc(pos))

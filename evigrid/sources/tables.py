@@ -20,3 +20,14 @@ def session(name: str = "evigrid", cores: int | str = "*", partitions: int = 8)
     """A local session with the settings the jobs are tested under."""
     return (SparkSession.builder.master(f"local[{cores}]").appName(name).config("spark.sql.shuffle.partitions", str(partitions))
             .config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false").config("spark.sql.adaptive.enabled", "true").getOrCreate())
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df checkpointed to the folder that the session names; a session without one (a local test)
+    gets a temporary folder."""
+    import tempfile
+
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-shared-"))
+    return df.checkpoint()
