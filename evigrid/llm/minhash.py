@@ -173,13 +173,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, part: int = 80, whole: int =
     classes = full.groupBy("key").agg(F.min("doc_id").alias("rep"))
     heads = stored(full.groupBy("key").agg(F.min_by("bands", "doc_id").alias("bands"), F.min("doc_id").alias("doc_id")).select("doc_id", F.posexplode("bands").alias("band", "code")), "bands")
     buckets = heads.groupBy("band", "code").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    maybe = heads.join(buckets, ["band", "code"]).where("doc_id <> least").select(F.col("doc_id").alias("a"), F.col("least").alias("b")).distinct()
+    maybe = heads.join(buckets.hint("merge"), ["band", "code"]).where("doc_id <> least").select(F.col("doc_id").alias("a"), F.col("least").alias("b")).distinct()
     cand = stored(connected_components(maybe).select(F.col("node").alias("doc_id"), F.col("component").alias("grp")), "candidates")
     sizes = cand.groupBy("grp").agg(F.count(F.lit(1)).alias("m"))
     spot = F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS))
     near = F.broadcast(cand.select(spot.alias("spot")).distinct())  # at most BUCKETS rows; it only thins the scan
     thin = base.where("doc_id is not null").withColumn("spot", spot).join(near, "spot", "left_semi").drop("spot")
-    texts = thin.join(cand, "doc_id").mapInArrow(_sets(size, threshold), "doc_id bigint, grp bigint, found binary, sig binary")
+    texts = thin.join(cand.hint("merge"), "doc_id").mapInArrow(_sets(size, threshold), "doc_id bigint, grp bigint, found binary, sig binary")
     tiles = by_tile(tile_rows(texts, ["grp"], sizes, F.col("doc_id")).select("tile", "grp", "i", "j", "own", "doc_id", "found", "sig"), ["tile", "grp", "i", "j"])
     links = stored(tiles.mapInArrow(_tile_edges(part, whole), "a bigint, b bigint"), "links")
     comps = connected_components(links)
