@@ -88,10 +88,11 @@ def phrase_hits(docs: DataFrame, items: DataFrame) -> DataFrame:
     cand = stored(laid.groupBy("doc_id", "th").agg(F.collect_list(F.struct("shift", "item_id", "words")).alias("laid")), "alignments")
     spot = F.pmod(F.xxhash64("doc_id", "th"), F.lit(BUCKETS)).alias("spot")
     near = F.broadcast(cand.select(spot).distinct())  # at most BUCKETS rows; it only thins the scan
-    thin = _keyed(docs).withColumn("spot", spot).join(near, "spot", "left_semi").select(F.col("doc_id").alias("d"), F.col("th").alias("t"), "text").dropDuplicates(["d", "t"])
-    met = thin.join(cand, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("t") == F.col("th"))).select("doc_id", "th", words_of("text").alias("doc_words"), "laid")
+    # words are made below the join, so that no step above it makes them anew
+    thin = _keyed(docs).withColumn("spot", spot).join(near, "spot", "left_semi").select(F.col("doc_id").alias("d"), F.col("th").alias("t"), words_of("text").alias("doc_words"))
+    met = thin.join(cand, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("t") == F.col("th")))
     runs = F.transform("laid", lambda a: F.struct(a["item_id"].alias("item_id"), _runs(F.col("doc_words"), a).alias("runs")))
-    hit = met.select("doc_id", "th", F.filter(runs, lambda r: F.size(r["runs"]) > 0).alias("hit")).where(F.size("hit") > 0)
+    hit = stored(met.select("doc_id", "th", F.filter(runs, lambda r: F.size(r["runs"]) > 0).alias("hit")), "hits").where(F.size("hit") > 0).dropDuplicates(["doc_id", "th"])
     return hit.select("doc_id", "th", F.array_sort(F.flatten(F.col("hit.runs"))).alias("spans"), F.array_sort(F.array_distinct(F.filter(F.col("hit.item_id"), lambda x: x.isNotNull()))).alias("items"))
 
 
