@@ -77,7 +77,9 @@ class Model:
         self.longest = max(map(len, self.ids))
         if any(re.search(f"[^{MARK}]{MARK}", p) for p in self.ids):
             raise ValueError("pieces reach over the start of a word")
-        self.starts = {p[:i] for p in self.ids for i in range(1, len(p) + 1)}
+        self.tails = {p[i:] for p in self.ids for i in range(len(p))}
+        self.texts = [p.replace(MARK, " ") for p in self.pieces]
+        self.plain = np.array([k in (1, 4) for k in self.kinds])
         self.apart: dict = {}
         self.whole: dict = {}
 
@@ -120,6 +122,7 @@ def encode_sorted(model: Model, words: list[str]):
     """(word, ids) for sorted distinct words; forward states are kept over common prefixes."""
     scores, lasts, before = [0.0], [""], ""
     low = min(model.scores) - 10
+    tails, ids, whole, unigram = model.tails, model.ids, model.whole, model.unigram
     for word in words:
         shared = 0
         for a, b in zip(before, word):
@@ -129,16 +132,18 @@ def encode_sorted(model: Model, words: list[str]):
         del scores[shared + 1:], lasts[shared + 1:]
         for end in range(shared + 1, len(word) + 1):
             best, last = None, ""
-            for start in range(max(0, end - model.longest), end):
+            for start in range(end - 1, -1, -1):
                 piece = word[start:end]
-                known = piece in model.ids
+                if piece not in tails and end - start > 1:
+                    break  # no piece ends in this, so none that is longer
+                known = piece in ids
                 if not known and end - start > 1 or scores[start] is None:
                     continue
-                if model.unigram:
-                    now = scores[start] + (model.scores[model.ids[piece]] if known else low)
+                if unigram:
+                    now = scores[start] + (model.scores[ids[piece]] if known else low)
                     if best is None or now > best:
                         best, last = now, piece
-                elif model.stands(piece) and (start == 0 or model.stay_apart(lasts[start], piece)):
+                elif (whole.get(piece) or model.stands(piece)) and (start == 0 or model.stay_apart(lasts[start], piece)):
                     best, last = scores[start] + 1, piece
                     break
             scores.append(best)
@@ -159,6 +164,9 @@ def marked_words(model: Model, text: str) -> list[str]:
 
 def decode(model: Model, ids: list[int]) -> str:
     """Text of ids: byte pieces join to UTF-8, what is not UTF-8 becomes U+FFFD byte by byte."""
+    if model.plain[ids].all() if len(ids) else True:
+        text = "".join([model.texts[i] for i in ids])
+        return text[1:] if model.prefix and text.startswith(" ") else text
     out, held = [], bytearray()
 
     def flush():
@@ -244,9 +252,13 @@ def _digest(path: str):
     def run(batches):
         model, _ = _model(path)
         for batch in batches:
-            ids = batch.column("ids").to_pylist()
-            same = [decode(model, i) == (t or "").replace(MARK, " ") for i, t in zip(ids, batch.column("text").to_pylist())]
-            sha = [xxhash.xxh3_128_hexdigest(np.array(i, "<i4").tobytes()) for i in ids]
+            column = batch.column("ids")
+            ends = column.offsets.to_numpy()
+            flat = column.values.to_numpy()
+            rows = [flat[lo:hi] for lo, hi in zip(ends[:-1], ends[1:])]
+            same = [decode(model, i.tolist()) == (t or "").replace(MARK, " ") for i, t in zip(rows, batch.column("text").to_pylist())]
+            sha = [xxhash.xxh3_128_hexdigest(np.ascontiguousarray(i, "<i4").tobytes()) for i in rows]
+            ids = rows
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(map(len, ids), pa.int64()), pa.array(sha), pa.array(same)], ["doc_id", "n_pieces", "ids_hash", "round_trip"])
 
     return run
