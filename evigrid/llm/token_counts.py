@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .common import small_batches, tokenizer_path
 
-BLOCK_CHARS = 32_000_000
+BLOCK_CHARS = 12_000_000
 BLOCK_DOCS = 60_000
 PACKED = "token string, block string, places binary, counts binary, ids array<bigint>, n_bytes array<bigint>"
 #: Letters, digits and blanks among U+0000 to U+00FF, as the file's pattern classes them (fixed values).
