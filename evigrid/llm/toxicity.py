@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from .common import ALNUM, small_batches
 
 BITS = 18
-#: Bound of each member's sample: so many positive and unlabelled documents on average.
-POSITIVES, UNLABELLED, MEMBERS = 3000, 9000, 4
+#: Bound of a member's sample: so many positive documents, the same for all members, and so many
+#: unlabelled ones of its own, on average.
+POSITIVES, UNLABELLED, MEMBERS = 6000, 6000, 3
 THRESHOLD = 0.3
 _WORD = re.compile(ALNUM)
 
@@ -41,18 +42,30 @@ def _features(batches):
         yield pa.RecordBatch.from_arrays([batch.column("member"), batch.column("positive"), pa.array(feats, pa.list_(pa.int32()))], ["member", "positive", "features"])
 
 
-def select_features(pos: list, unl: list, least: int = 5, z_least: float = 4.0) -> np.ndarray:
-    """Features whose share among positives differs from that among unlabelled by z_least deviations."""
+def select_features(pos: list, unl: list, least: int = 5, z_least: float = 5.0, lift: float = 3.0) -> np.ndarray:
+    """Features that stand in `lift` times the share of positives as of unlabelled documents, by
+    z_least deviations; what most texts share, or a group of copies brings along, stays out."""
     size = 1 << BITS
     p = np.bincount(np.concatenate(pos), minlength=size) if len(pos) else np.zeros(size)
     u = np.bincount(np.concatenate(unl), minlength=size) if len(unl) else np.zeros(size)
     n, m = max(1, len(pos)), max(1, len(unl))
     mid = (p + u + 1) / (n + m + 2)
     z = (p / n - u / m) / np.sqrt(mid * (1 - mid) * (1 / n + 1 / m))
-    return np.flatnonzero((np.abs(z) >= z_least) & (p + u >= least))
+    return np.flatnonzero((z >= z_least) & (p / n >= lift * u / m) & (p >= least))
 
 
-def fit_nnpu(pos: list, unl: list, prior: float, epochs: int = 40, batch: int = 512, rate: float = 0.05, decay: float = 1e-4, seed: int = 1) -> tuple[np.ndarray, float]:
+def apart(docs: list) -> list:
+    """One document of each group whose three least hashes agree: copies in a sample would count their
+    common words as marks of the label."""
+    seen: dict = {}
+    for f in docs:
+        x = f.astype(np.uint64) + np.uint64(1)
+        key = tuple(int(((x * np.uint64(a)) & np.uint64(0xFFFFFFFF)).min()) for a in (2654435761, 2246822519, 3266489917)) if len(f) else ()
+        seen.setdefault(key, f)
+    return list(seen.values())
+
+
+def fit_nnpu(pos: list, unl: list, prior: float, epochs: int = 300, batch: int = 20_000, rate: float = 0.05, decay: float = 1e-4, seed: int = 1) -> tuple[np.ndarray, float]:
     """Weights by feature (zero where not selected) and the bias, by Adam on the non-negative risk.
 
     With no positives the weights are zero and the bias gives the prior.
@@ -61,6 +74,7 @@ def fit_nnpu(pos: list, unl: list, prior: float, epochs: int = 40, batch: int =
     rest = float(np.log(max(prior, 1e-6) / max(1 - prior, 1e-6)))
     if not pos or not unl:
         return weights, rest
+    pos, unl = apart(pos), apart(unl)
     kept = select_features(pos, unl)
     if not len(kept):
         return weights, rest
@@ -98,7 +112,7 @@ def fit_nnpu(pos: list, unl: list, prior: float, epochs: int = 40, batch: int =
             g[:-1] += decay * w[:-1]
             t += 1
             m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-            w -= rate * (0.5 ** (epoch // 15)) * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.999 ** t)) + 1e-8)
+            w -= rate * (0.5 ** (4 * epoch // epochs)) * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.999 ** t)) + 1e-8)
     weights[kept] = w[:-1]
     return weights, float(w[-1])
 
@@ -132,9 +146,11 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     n_docs = docs.where(used).count()
     member = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(MEMBERS)).cast("int").alias("member")
     unit = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_000)) / 1_000_000
-    p_rate, u_rate = min(1.0, MEMBERS * POSITIVES / n_pos), min(1.0, MEMBERS * UNLABELLED / max(1, n_docs))
+    p_rate, u_rate = min(1.0, POSITIVES / n_pos), min(1.0, MEMBERS * UNLABELLED / max(1, n_docs))
     keyed = docs.where(used).select("doc_id", "text")
-    pos = keyed.where(unit < p_rate).join(marks.where("toxic = 1").select("doc_id"), "doc_id", "left_semi").select(member, F.lit(True).alias("positive"), "text")
+    # ids of the sample, near POSITIVES at any size of the corpus; texts stay where they lie
+    chosen = F.broadcast(marks.where("toxic = 1").select("doc_id").where(unit < p_rate))
+    pos = keyed.join(chosen, "doc_id", "left_semi").select(F.explode(F.sequence(F.lit(0), F.lit(MEMBERS - 1))).alias("member"), F.lit(True).alias("positive"), "text")
     unl = keyed.where(unit < u_rate).select(member, F.lit(False).alias("positive"), "text")
     feats = pos.unionAll(unl).mapInArrow(_features, "member int, positive boolean, features array<int>")
     found = feats.groupBy("member").applyInArrow(_fit(prior), "feature int, weight double").groupBy("feature").agg((F.sum("weight") / MEMBERS).alias("weight")).collect()  # at most 2000 * MEMBERS rows
