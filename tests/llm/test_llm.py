@@ -82,6 +82,15 @@ def test_lm_base_and_gain(docs, texts, head, monkeypatch):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held) * (1.0 if head > 1000 else 1.2)
 
 
+def test_lm_scores_do_not_depend_on_the_head(docs, monkeypatch):
+    """A tail word has its own unigram probability, so a broadcast head is only a way to reach it."""
+    got = []
+    for head in (65_536, 300):
+        monkeypatch.setattr(lm_scoring, "HEAD", head)
+        got.append(sorted((r["doc_id"], round(r["score"], 6)) for r in lm_scoring.score_documents(docs).collect()))
+    assert got[0] == got[1]
+
+
 def test_lm_odd_rows(odd, none):
     rows = lm_scoring.score_documents(odd).collect()
     assert len(rows) == 11 and {r["doc_id"]: r["n_tokens"] for r in rows}[1] == 1
