@@ -91,6 +91,35 @@ def test_lm_scores_do_not_depend_on_the_head(docs, monkeypatch):
     assert got[0] == got[1]
 
 
+def test_weights_use_every_kind():
+    """400,001 kinds, of which the odd ones alone are seen again: a stride over the even ones learns nothing."""
+    k = np.arange(400_001)
+    n = np.where(k % 2 == 1, 4, 1)
+    w = elias_fano.weights(n, np.full(len(k), 4), np.full(len(k), 1e-6), n)
+    assert w[1] > 0.5
+
+
+def test_lm_equal_texts_score_alike_when_the_start_is_split(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "SPLIT_AT", 40, raising=False)
+    rng = random.Random(6)
+    rows = [(i, f"first{rng.randrange(30)} then") for i in range(3000)]
+    scores, texts = collections.defaultdict(set), dict(rows)
+    for r in lm_scoring.score_documents(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect():
+        scores[texts[r["doc_id"]]].add(round(r["score"], 6))
+    assert all(len(s) == 1 for s in scores.values())
+
+
+def test_trie_parts_are_shares_of_the_whole():
+    h = lambda x: np.uint64(0x9E3779B97F4A7C15) * (np.asarray(x).astype(np.uint64) + np.uint64(7))
+    word, low, total = np.arange(4000) % 40, np.full(4000, 1 / 40), 0.0
+    for part in (0, 1):  # even words in one part, odd words in the other
+        mine = word % 2 == part
+        ctx = lambda n: h(np.full(n, 100 + part))  # noqa: B023, E731
+        t = elias_fano.NGramTrie(elias_fano.NGramTrie.build(ctx(2000), h(np.full(2000, 90)), h(word[mine]), low[mine], h([100, 101]), 4000))
+        total += t.probabilities(ctx(20), h(np.full(20, 90)), h(np.arange(part, 40, 2)), np.full(20, 1 / 40)).sum()
+    assert 0.99 < total <= 1.0001
+
+
 def test_lm_odd_rows(odd, none):
     rows = lm_scoring.score_documents(odd).collect()
     assert len(rows) == 11 and {r["doc_id"]: r["n_tokens"] for r in rows}[1] == 1
