@@ -65,6 +65,36 @@ def apart(docs: list) -> list:
     return list(seen.values())
 
 
+class Rows:
+    """Documents as sparse rows of selected features and a last column of ones."""
+
+    def __init__(self, docs: list, column: np.ndarray):
+        found = [c[c >= 0] for c in (column[f] for f in docs)]
+        self.n = len(docs)
+        self.row = np.repeat(np.arange(self.n), [len(c) for c in found])
+        self.col = np.concatenate([np.zeros(0, np.int64), *found])
+
+    def __len__(self) -> int:
+        return self.n
+
+    def take(self, at: np.ndarray) -> "Rows":
+        if len(at) == self.n:  # all of them; their order does not matter
+            return self
+        out, place = object.__new__(Rows), np.full(self.n, -1)
+        place[at] = np.arange(len(at))
+        row = place[self.row]
+        out.n, out.row, out.col = len(at), row[row >= 0], self.col[row >= 0]
+        return out
+
+    def dot(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, w[self.col], self.n) + w[-1]
+
+    def back(self, s: np.ndarray, size: int) -> np.ndarray:
+        out = np.bincount(self.col, s[self.row], size)
+        out[-1] = s.sum()
+        return out
+
+
 def fit_nnpu(pos: list, unl: list, prior: float, epochs: int = 300, batch: int = 20_000, rate: float = 0.05, decay: float = 1e-4, seed: int = 1) -> tuple[np.ndarray, float]:
     """Weights by feature (zero where not selected) and the bias, by Adam on the non-negative risk.
 
@@ -81,19 +111,7 @@ def fit_nnpu(pos: list, unl: list, prior: float, epochs: int = 300, batch: int =
     column = np.full(1 << BITS, -1)
     column[kept] = np.arange(len(kept))
 
-    def rows(docs):
-        out = np.zeros((len(docs), len(kept) + 1), np.float32)
-        out[:, -1] = 1
-        for i, f in enumerate(docs):
-            c = column[f]
-            out[i, c[c >= 0]] = 1
-        return out
-
-    if len(kept) > 2000:  # the strongest, so that a member's matrix stays small
-        kept = kept[:2000]
-        column[:] = -1
-        column[kept] = np.arange(len(kept))
-    xp, xu = rows(pos), rows(unl)
+    xp, xu = Rows(pos, column), Rows(unl, column)
     w = np.zeros(len(kept) + 1)
     w[-1] = rest
     m, v, t = np.zeros_like(w), np.zeros_like(w), 0
@@ -102,11 +120,11 @@ def fit_nnpu(pos: list, unl: list, prior: float, epochs: int = 300, batch: int =
     for epoch in range(epochs):
         op, ou = rng.permutation(len(xp)), rng.permutation(len(xu))
         for s in range(steps):
-            bp = xp[op[s * len(xp) // steps:max(s * len(xp) // steps + 1, (s + 1) * len(xp) // steps)]]
-            bu = xu[ou[s * batch:(s + 1) * batch]]
-            sp, su = 1 / (1 + np.exp(-bp @ w)), 1 / (1 + np.exp(-bu @ w))
-            plus = prior * ((sp - 1) @ bp) / len(bp)  # of log(1 + e^-f)
-            minus = (su @ bu) / len(bu) - prior * (sp @ bp) / len(bp)  # of log(1 + e^f)
+            bp = xp.take(op[s * len(xp) // steps:max(s * len(xp) // steps + 1, (s + 1) * len(xp) // steps)])
+            bu = xu.take(ou[s * batch:(s + 1) * batch])
+            sp, su = 1 / (1 + np.exp(-bp.dot(w))), 1 / (1 + np.exp(-bu.dot(w)))
+            plus = prior * bp.back(sp - 1, len(w)) / len(bp)  # of log(1 + e^-f)
+            minus = bu.back(su, len(w)) / len(bu) - prior * bp.back(sp, len(w)) / len(bp)  # of log(1 + e^f)
             risk = -np.log1p(-np.minimum(su, 1 - 1e-9)).mean() + prior * np.log1p(-np.minimum(sp, 1 - 1e-9)).mean()
             g = plus + minus if risk >= 0 else -minus
             g[:-1] += decay * w[:-1]
@@ -153,7 +171,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     pos = keyed.join(chosen, "doc_id", "left_semi").select(F.explode(F.sequence(F.lit(0), F.lit(MEMBERS - 1))).alias("member"), F.lit(True).alias("positive"), "text")
     unl = keyed.where(unit < u_rate).select(member, F.lit(False).alias("positive"), "text")
     feats = pos.unionAll(unl).mapInArrow(_features, "member int, positive boolean, features array<int>")
-    found = feats.groupBy("member").applyInArrow(_fit(prior), "feature int, weight double").groupBy("feature").agg((F.sum("weight") / MEMBERS).alias("weight")).collect()  # at most 2000 * MEMBERS rows
+    found = feats.groupBy("member").applyInArrow(_fit(prior), "feature int, weight double").groupBy("feature").agg((F.sum("weight") / MEMBERS).alias("weight")).collect()  # at most (1 << BITS) + 1 rows
     weights = np.zeros(1 << BITS, np.float32)
     bias = -4.0
     for r in found:

@@ -187,6 +187,16 @@ def test_toxicity_learns(spark):
     assert wrong <= 0.02 * len(held)
 
 
+def test_toxicity_weighs_every_selected_feature():
+    rng = np.random.default_rng(3)
+    marks = np.arange(100_000, 104_000)
+    pos = [np.sort(f) for _ in range(30) for f in np.array_split(rng.permutation(marks), 67)]
+    unl = [np.sort(rng.choice(5000, 60, replace=False)) for _ in pos]
+    kept = toxicity.select_features(pos, unl)
+    weights, _ = toxicity.fit_nnpu(pos, unl, 0.3)
+    assert len(kept) > 3900 and (weights[kept] > 0).all()
+
+
 def test_toxicity_odd(spark, odd, none):
     lab = spark.createDataFrame([(4, 1), (4, 0), (5, None), (None, 1)], "doc_id long, toxic int")
     assert toxicity.score_toxicity(odd, lab).count() == 11
