@@ -22,13 +22,13 @@ NOTICES = {
     "all rights reserved": "proprietary",
 }
 #: Words that open an identifier tag.
-TAGS = ("spdx license identifier", "license identifier")
+TAGS = ("spdx license identifier", "license identifier", "spdx licence identifier", "licence identifier")
 #: Identifiers known to the expression reader (lower case) and their labels.
 KNOWN = {"mit": "mit", "apache-2.0": "apache-2", "bsd-2-clause": "bsd", "bsd-3-clause": "bsd", "gpl-2.0": "gpl", "gpl-2.0-only": "gpl", "gpl-2.0-or-later": "gpl", "gpl-3.0": "gpl", "gpl-3.0-only": "gpl", "gpl-3.0-or-later": "gpl", "lgpl-2.1": "lgpl", "lgpl-3.0": "lgpl", "agpl-3.0": "agpl", "mpl-2.0": "mpl", "cc-by-4.0": "cc-by", "cc-by-nc-4.0": "cc-by-nc", "isc": "isc", "unlicense": "unlicense"}
 PERMISSIVE = {"mit", "apache-2", "bsd", "isc", "cc-by", "unlicense"}
 SCHEMA = "doc_id bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double, expressions array<string>, open_use boolean"
 _WORD = re.compile(ALNUM)
-_TAG = re.compile(rb"licen[sc]e-identifier:[ \t]*([^\n\r*/<>\"]{1,200})", re.I)
+_TAG = re.compile(rb"licen[sc]e-identifier:[ \t]*([^\n\r*/<>\"]+)", re.I)
 _PIECE = re.compile(r"\(|\)|[A-Za-z0-9.+:-]+")
 _RANK = {"or": 1, "and": 2, "with": 3}
 

@@ -251,6 +251,15 @@ def test_license_expressions():
     assert (k, first, last, base, labels, free) == (2, 0, 12, "mit", "apache-2,mit", True)
 
 
+def test_license_expressions_are_read_whole():
+    a = license_scan.automaton()
+    text = "SPDX-License-Identifier: " + " AND ".join(["MIT"] * 60 + ["GPL-3.0-only"])
+    *_, labels, _, found, free = license_scan.scan_text(a, text.encode())
+    assert (labels, found, free) == ("gpl,mit", [text.partition(": ")[2]], False)
+    *_, labels, _, found, free = license_scan.scan_text(a, b"Licence-Identifier: ISC")
+    assert (labels, found, free) == ("isc", ["ISC"], True)
+
+
 def test_flow_is_cheapest():
     rng = random.Random(4)
     for _ in range(20):
