@@ -37,6 +37,18 @@ def test_sequential_dedupe(spark, register):
     assert got == loop_dedupe(rows, register)
 
 
+def test_issn_normalisation_reads_every_supplier(spark, tmp_path):
+    import duckdb
+
+    from evigrid import plans, registry  # noqa: F401
+
+    spark.range(990, 12_000, 7).withColumnRenamed("id", "s_suppkey").write.parquet(str(tmp_path / "supplier.parquet"))
+    got = sorted(map(tuple, registry.QUERIES["issn_normalisation"](spark, str(tmp_path)).collect()))
+    con = duckdb.connect()
+    con.execute(f"create view supplier as select * from read_parquet('{tmp_path}/supplier.parquet/*.parquet')")
+    assert got == sorted(con.execute(registry.ORACLE["issn_normalisation"]).fetchall())
+
+
 def test_best_by_doi_ties_and_missing(spark):
     rows = [(0, "10.1/X", 3), (1, "10.1/x", 3), (2, "10.1/x", 5), (3, None, 1), (4, "", 2)]
     out = dedup.best_by_doi(spark.createDataFrame(rows, "pos long, doi string, citation_count int")).collect()
