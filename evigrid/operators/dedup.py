@@ -29,55 +29,44 @@ def merged_by_id(records: DataFrame, key: str, label: str, firsts: list[str], po
     return records.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(label).alias(label), *[known(c) for c in firsts], F.count(F.lit(1)).alias("n_rows"))
 
 
-def link_components(keys: DataFrame, rounds: int = 30) -> DataFrame:
-    """pos, component of records that share a DOI or title key: least pos spread over keys until it rests.
+def least_first(pairs: DataFrame) -> DataFrame:
+    """pos of the rows that a pass in order of pos keeps, where pairs(pos, key) has a row for each key
+    of a row and a kept row shuts out all later ones that share a key.
 
-    keys(pos, key) has a row for every key of a record. Each round is checkpointed.
+    In a round the rows that are least under all their keys are kept and their neighbours go; the
+    least row of all is one of these, so the rounds end with nothing left. Each is checkpointed.
     """
-    now = keys.withColumn("component", F.col("pos"))
-    last = None
-    for _ in range(rounds):
-        by_key = now.groupBy("key").agg(F.min("component").alias("m"))
-        by_pos = now.join(by_key, "key").groupBy("pos").agg(F.min("m").alias("component"))
-        now = settled(keys.join(by_pos, "pos"))
-        total = now.agg(F.sum("component")).collect()[0][0]
-        if total == last:
-            break
-        last = total
-    return now.groupBy("pos").agg(F.min("component").alias("component"))
+    left, kept = settled(pairs), []
+    while not left.isEmpty():
+        least = left.groupBy("key").agg(F.min("pos").alias("least"))
+        now = settled(left.join(least, "key").groupBy("pos").agg(F.bool_and(F.col("pos") == F.col("least")).alias("first")).where("first").select("pos"))
+        shut = left.join(now, "pos", "left_semi").select("key").distinct()
+        gone = left.join(shut, "key", "left_semi").select("pos").distinct()
+        left = settled(left.join(gone, "pos", "left_anti"))
+        kept.append(now)
+    out = pairs.select("pos").limit(0)
+    for now in kept:
+        out = out.unionAll(now)
+    return out
 
 
 def sequential(records: DataFrame, register_dropped_doi: bool = False) -> DataFrame:
     """Records kept by a pass in order of pos that drops what has a seen DOI or title key.
 
-    A dropped record registers nothing, unless register_dropped_doi: then its DOI counts as seen.
-    Only records tied by some key can affect each other, so each such component is passed alone; a
-    record whose keys nobody shares is kept without that.
+    A dropped record registers nothing, unless register_dropped_doi: then its DOI counts as seen, so
+    the first record of each DOI alone can be kept, and of those the first of each title. A missing
+    DOI or title is no key. Otherwise records of equal keys collapse to their first before the rounds.
     """
     keyed = records.withColumn("_d", F.lower(F.nullif(F.trim("doi"), F.lit("")))).withColumn("_t", title_key("title"))
-    pairs = keyed.select("pos", F.explode(F.array_compact(F.array(F.concat(F.lit("d:"), "_d"), F.concat(F.lit("t:"), "_t")))).alias("key"))
-    shared = pairs.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    tied = pairs.join(shared, "key")
-    comps = link_components(tied)
-
-    def run(group):
-        group = group.sort_values("pos")
-        dois, titles, kept = set(), set(), []
-        for pos, d, t in zip(group["pos"], group["_d"], group["_t"]):
-            if d is not None and d in dois:
-                continue
-            if register_dropped_doi and d is not None:
-                dois.add(d)
-            if t in titles:
-                continue
-            if d is not None:
-                dois.add(d)
-            titles.add(t)
-            kept.append(pos)
-        return group.assign(kept=group["pos"].isin(kept))[["pos", "kept"]]
-
-    judged = keyed.select("pos", "_d", "_t").join(comps, "pos").groupBy("component").applyInPandas(run, "pos long, kept boolean")
-    return records.join(judged, "pos", "left").where(F.coalesce("kept", F.lit(True))).drop("kept")
+    if register_dropped_doi:
+        firsts = keyed.where("_d is not null").groupBy("_d").agg(F.min_by("_t", "pos").alias("_t"), F.min("pos").alias("pos")).select("_t", "pos")
+        firsts = firsts.unionAll(keyed.where("_d is null").select("_t", "pos"))
+        kept = firsts.where("_t is not null").groupBy("_t").agg(F.min("pos").alias("pos")).select("pos").unionAll(firsts.where("_t is null").select("pos"))
+    else:
+        rows = keyed.where("_d is not null or _t is not null").groupBy("_d", "_t").agg(F.min("pos").alias("pos"))
+        pairs = rows.select("pos", F.explode(F.array_compact(F.array(F.concat(F.lit("d:"), "_d"), F.concat(F.lit("t:"), "_t")))).alias("key"))
+        kept = least_first(pairs).unionAll(keyed.where("_d is null and _t is null").select("pos"))
+    return records.join(kept, "pos", "left_semi")
 
 
 def distinct_edges(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:

@@ -37,6 +37,19 @@ def test_sequential_dedupe(spark, register):
     assert got == loop_dedupe(rows, register)
 
 
+@pytest.mark.parametrize("register", [False, True])
+def test_sequential_dedupe_of_a_long_chain(spark, register):
+    """Rows of a chain share a DOI with one neighbour and a title with the other; its far end is first."""
+    n = 80
+    order = [(i * 37) % n for i in range(n)]
+    rows = [(pos, f"10.1/{(i + 1) // 2}", f"title {i // 2}") for pos, i in enumerate(order)]
+    rows += [(n + k, "10.9/x", "copies") for k in range(200)]
+    df = spark.createDataFrame(rows, "pos long, doi string, title string")
+    plan = dedup.sequential(df, register)
+    assert sorted(r["pos"] for r in plan.collect()) == loop_dedupe(rows, register)
+    assert "InPandas" not in plan._jdf.queryExecution().toString()  # no group becomes one task's frame
+
+
 def test_issn_normalisation_reads_every_supplier(spark, tmp_path):
     import duckdb
 
