@@ -291,6 +291,16 @@ def test_rewrite_touches_moved_shards_only(spark, tmp_path):
     assert touched == {0, 1} and spark.read.parquet(str(tmp_path / "out")).count() == 4
 
 
+def test_rewrite_keeps_null_and_repeated_ids(spark, tmp_path):
+    rows = [(None, f"n{i % 3}") for i in range(9)] + [(7, f"r{i % 4}") for i in range(40)] + [(i, f"t{i}") for i in range(100, 160)] + [(8, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    plan = sharding.reshard(d, 5, 4)
+    touched = {r[0] for r in sharding.rewrite_affected(d, plan, ["doc_id"], str(tmp_path / "out")).collect()}
+    want = collections.Counter((r["doc_id"], r["text_crc32"], r["shard"]) for r in plan.collect() if r["shard"] in touched)
+    got = collections.Counter((r["doc_id"], zlib.crc32((r["text"] or "").encode()), r["shard"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == want and len(touched) > 1
+
+
 def test_vectors(spark, data):
     e = table(spark, data, "embeddings").collect()
     rng = np.random.default_rng(2)
