@@ -79,6 +79,17 @@ class WordHash(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+class Numbers(dict):
+    """Things to numbers in the order of their first sight."""
+
+    def __missing__(self, thing) -> int:
+        n = self[thing] = len(self)
+        return n
+
+    def of(self, things: list) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, things), np.int32, len(things))
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit words that spreads every bit (multiply and xor-shift rounds)."""
     x = x ^ (x >> np.uint64(32))

@@ -59,7 +59,7 @@ def test_trie_sums_to_one():
     rng = np.random.default_rng(1)
     c, b, w = (rng.zipf(1.4, 5000) % k for k in (20, 30, 60))
     h = lambda x: np.uint64(0x9E3779B97F4A7C15) * (np.asarray(x).astype(np.uint64) + np.uint64(7))
-    t = elias_fano.NGramTrie(elias_fano.NGramTrie.build(h(c), h(b), h(w), np.full(5000, 1 / 60)))
+    t = elias_fano.NGramTrie(elias_fano.NGramTrie.build(h(c), h(b), h(w)))
     for ctx, before in [(1, 1), (3, 29), (77, 2)]:
         total = t.probabilities(h(np.full(60, ctx)), h(np.full(60, before)), h(np.arange(60)), np.full(60, 1 / 60)).sum()
         assert 0.99 < total <= 1.0001
@@ -91,31 +91,87 @@ def test_lm_scores_do_not_depend_on_the_head(docs, monkeypatch):
     assert got[0] == got[1]
 
 
-def test_weights_use_every_kind():
-    """400,001 kinds, of which the odd ones alone are seen again: a stride over the even ones learns nothing."""
-    k = np.arange(400_001)
-    n = np.where(k % 2 == 1, 4, 1)
-    w = elias_fano.weights(n, np.full(len(k), 4), np.full(len(k), 1e-6), n)
-    assert w[1] > 0.5
-
-
-def test_lm_equal_texts_score_alike_when_the_start_is_split(spark, monkeypatch):
-    monkeypatch.setattr(lm_scoring, "SPLIT_AT", 40, raising=False)
+def brute_lm(texts, split_at):
+    """Scores by plain counting of words, pairs and threes over all texts of the training folds."""
+    toks = {i: BLANK.findall(low(t)) + [b" "] for i, t in texts.items()}
+    train = {i: t for i, t in toks.items() if zlib.crc32(str(i).encode()) % 7 != 2}
+    uni = collections.Counter(w for t in train.values() for w in t)
+    n, n_docs = sum(uni.values()), len(train)
+    once = sum(c == 1 for c in uni.values())
+    spelling = np.zeros(lm_scoring.CONTEXTS * lm_scoring.SYMBOLS, np.int64)
+    steps, _ = lm_scoring._spelling_steps(list(uni))
+    np.add.at(spelling, steps, 1)
+    floor = lm_scoring.Floor([(b" ", n_docs)], spelling, n, len(uni), once)
+    unseen = sorted({w for t in toks.values() for w in t if w not in uni})
+    spelt = dict(zip(unseen, floor.spelt(unseen).tolist()))
+    q = lambda w: min(255, round(-math.log10(uni[w] * floor.scale) * 16)) if w in uni else spelt[w]
+    hash_ = lm_scoring.xxhash.xxh3_64_intdigest
+
+    def places(t):
+        for k, w in enumerate(t):
+            v, u = (t[k - 1] if k else None), (t[k - 2] if k > 1 else None)
+            klass = (hash_(u if u is not None else b"  ") >> 20) % max(1, -(-uni[v] // split_at)) if v is not None else None
+            yield u, (v, klass), w
+
+    two, three, c2, c3, k2, k3 = (collections.Counter() for _ in range(6))
+    for t in train.values():
+        for u, v, w in places(t):
+            k2[v] += not two[v, w]
+            k3[u, v] += not three[u, v, w]
+            two[v, w] += 1
+            three[u, v, w] += 1
+            c2[v] += 1
+            c3[u, v] += 1
+    out = {}
+    for i, t in toks.items():
+        total = 0.0
+        for u, v, w in places(t):
+            p = 10 ** (-q(w) / 16)
+            if v[0] is None:
+                p = (two[v, w] + 100 * p) / (n_docs + 100)
+            elif c2[v]:
+                p = (max(two[v, w] - 0.75, 0) + 0.75 * k2[v] * p) / c2[v]
+                if c3[u, v]:
+                    p = (max(three[u, v, w] - 0.75, 0) + 0.75 * k3[u, v] * p) / c3[u, v]
+            total += math.log10(p)
+        out[i] = total
+    return out, toks
+
+
+@pytest.mark.parametrize("split_at", [100_000, 300])
+def test_lm_score_equals_counting(docs, texts, split_at):
+    want, toks = brute_lm(texts, split_at)
+    for r in lm_scoring.score_documents(docs, split_at).collect():
+        assert abs(r["score"] - want[r["doc_id"]]) < 0.001 * len(toks[r["doc_id"]]) + 1e-6  # the codes' steps
+
+
+def test_lm_scores_do_not_depend_on_partitions_or_rows(spark, docs):
+    got, before = [], spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n, dealt in ((4, docs), (64, docs.orderBy("doc_id")), (150, docs.repartition(7, "text"))):
+            spark.conf.set("spark.sql.shuffle.partitions", str(n))
+            got.append(sorted((r["doc_id"], round(r["score"], 6)) for r in lm_scoring.score_documents(dealt).collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got[0] == got[1] == got[2]
+
+
+def test_lm_equal_texts_score_alike_when_the_start_is_split(spark):
     rng = random.Random(6)
     rows = [(i, f"first{rng.randrange(30)} then") for i in range(3000)]
     scores, texts = collections.defaultdict(set), dict(rows)
-    for r in lm_scoring.score_documents(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect():
+    for r in lm_scoring.score_documents(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), 40).collect():
         scores[texts[r["doc_id"]]].add(round(r["score"], 6))
     assert all(len(s) == 1 for s in scores.values())
 
 
 def test_trie_parts_are_shares_of_the_whole():
     h = lambda x: np.uint64(0x9E3779B97F4A7C15) * (np.asarray(x).astype(np.uint64) + np.uint64(7))
-    word, low, total = np.arange(4000) % 40, np.full(4000, 1 / 40), 0.0
+    word, total = np.arange(4000) % 40, 0.0
     for part in (0, 1):  # even words in one part, odd words in the other
         mine = word % 2 == part
         ctx = lambda n: h(np.full(n, 100 + part))  # noqa: B023, E731
-        t = elias_fano.NGramTrie(elias_fano.NGramTrie.build(ctx(2000), h(np.full(2000, 90)), h(word[mine]), low[mine], h([100, 101]), 4000))
+        t = elias_fano.NGramTrie(elias_fano.NGramTrie.build(ctx(2000), h(np.full(2000, 90)), h(word[mine]), h([100, 101]), 4000))
         total += t.probabilities(ctx(20), h(np.full(20, 90)), h(np.arange(part, 40, 2)), np.full(20, 1 / 40)).sum()
     assert 0.99 < total <= 1.0001
 
