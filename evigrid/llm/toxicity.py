@@ -95,10 +95,37 @@ class Rows:
         return out
 
 
-def fit_nnpu(pos: list, unl: list, prior: float, epochs: int = 300, batch: int = 20_000, rate: float = 0.05, decay: float = 1e-4, seed: int = 1) -> tuple[np.ndarray, float]:
+def risk(w: np.ndarray, pos: Rows, unl: Rows, prior: float) -> tuple[float, float, np.ndarray, np.ndarray]:
+    """The positive part of the risk, its negative part as estimated, and the gradients of both.
+
+    With the loss log(1 + exp(-y f)): prior * loss+(positives), and loss-(unlabelled) - prior *
+    loss-(positives), which estimates (1 - prior) * loss-(negatives) and may fall below 0.
+    """
+    fp, fu = pos.dot(w), unl.dot(w)
+    sp, su = 1 / (1 + np.exp(-fp)), 1 / (1 + np.exp(-fu))
+    plus = prior * np.logaddexp(0, -fp).mean()
+    minus = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
+    return plus, minus, prior * pos.back(sp - 1, len(w)) / len(pos), unl.back(su, len(w)) / len(unl) - prior * pos.back(sp, len(w)) / len(pos)
+
+
+def settled_bias(scores: np.ndarray, prior: float, threshold: float = THRESHOLD) -> float:
+    """The bias at which the share of scores (without a bias) that reach the threshold comes nearest
+    to the prior: halfway between two scores, so that equal scores stay on one side."""
+    values, count = np.unique(-scores, return_counts=True)  # best first
+    share = np.cumsum(count) / len(scores)
+    cut = int(np.argmin(np.abs(share - prior)))
+    edge = -(values[cut] + values[min(cut + 1, len(values) - 1)]) / 2
+    return float(np.log(threshold / (1 - threshold)) - edge + (0 if cut + 1 < len(values) else -1e-6))
+
+
+def fit_nnpu(pos: list, unl: list, prior: float, epochs: int = 120, batch: int = 1500, rate: float = 0.05, decay: float = 1e-4, seed: int = 1) -> tuple[np.ndarray, float]:
     """Weights by feature (zero where not selected) and the bias, by Adam on the non-negative risk.
 
-    With no positives the weights are zero and the bias gives the prior.
+    Mini-batches of `batch` unlabelled documents, with their share of the positives; where a batch's
+    negative part is below 0, the step takes it up again. The weights of the epoch with the least
+    non-negative risk over the whole sample are kept, and the bias is set so that the share of
+    unlabelled documents at THRESHOLD is the prior. With no positives the weights are zero
+    and the bias gives the prior.
     """
     weights = np.zeros(1 << BITS, np.float32)
     rest = float(np.log(max(prior, 1e-6) / max(1 - prior, 1e-6)))
@@ -116,23 +143,22 @@ def fit_nnpu(pos: list, unl: list, prior: float, epochs: int = 300, batch: int =
     w[-1] = rest
     m, v, t = np.zeros_like(w), np.zeros_like(w), 0
     rng = np.random.default_rng(seed)
-    steps = max(1, len(xu) // batch)
+    steps = max(1, min(len(xu) // batch, len(xp)))
+    best, least = w.copy(), np.inf
     for epoch in range(epochs):
-        op, ou = rng.permutation(len(xp)), rng.permutation(len(xu))
+        op, ou = (np.array_split(rng.permutation(len(x)), steps) for x in (xp, xu))
         for s in range(steps):
-            bp = xp.take(op[s * len(xp) // steps:max(s * len(xp) // steps + 1, (s + 1) * len(xp) // steps)])
-            bu = xu.take(ou[s * batch:(s + 1) * batch])
-            sp, su = 1 / (1 + np.exp(-bp.dot(w))), 1 / (1 + np.exp(-bu.dot(w)))
-            plus = prior * bp.back(sp - 1, len(w)) / len(bp)  # of log(1 + e^-f)
-            minus = bu.back(su, len(w)) / len(bu) - prior * bp.back(sp, len(w)) / len(bp)  # of log(1 + e^f)
-            risk = -np.log1p(-np.minimum(su, 1 - 1e-9)).mean() + prior * np.log1p(-np.minimum(sp, 1 - 1e-9)).mean()
-            g = plus + minus if risk >= 0 else -minus
+            _, minus, up, down = risk(w, xp.take(op[s]), xu.take(ou[s]), prior)
+            g = up + down if minus >= 0 else -down
             g[:-1] += decay * w[:-1]
             t += 1
             m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-            w -= rate * (0.5 ** (4 * epoch // epochs)) * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.999 ** t)) + 1e-8)
-    weights[kept] = w[:-1]
-    return weights, float(w[-1])
+            w = w - rate * (0.5 ** (4 * epoch // epochs)) * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.999 ** t)) + 1e-8)
+        plus, minus, _, _ = risk(w, xp, xu, prior)
+        if plus + max(0.0, minus) < least:
+            best, least = w, plus + max(0.0, minus)
+    weights[kept] = best[:-1]
+    return weights, settled_bias(xu.dot(best) - best[-1], min(max(prior, 1e-6), 1 - 1e-6))
 
 
 def _fit(prior: float):

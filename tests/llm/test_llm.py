@@ -243,6 +243,28 @@ def test_toxicity_learns(spark):
     assert wrong <= 0.02 * len(held)
 
 
+def test_toxicity_risk_and_gradient():
+    """The risk against plain sums, its gradient against differences, the bias against the prior."""
+    rng = np.random.default_rng(5)
+    pos, unl = ([rng.choice(6, rng.integers(0, 5), replace=False) for _ in range(n)] for n in (7, 11))
+    xp, xu = (toxicity.Rows(d, np.arange(6)) for d in (pos, unl))
+    w = rng.normal(size=7)
+    f = lambda d, w: sum(w[i] for i in d) + w[6]
+    loss = lambda z: math.log(1 + math.exp(-z))
+    plus, minus, up, down = toxicity.risk(w, xp, xu, 0.2)
+    assert plus == pytest.approx(0.2 * sum(loss(f(d, w)) for d in pos) / 7)
+    assert minus == pytest.approx(sum(loss(-f(d, w)) for d in unl) / 11 - 0.2 * sum(loss(-f(d, w)) for d in pos) / 7)
+    for i in range(7):
+        e = np.eye(7)[i] * 1e-6
+        a, b = toxicity.risk(w + e, xp, xu, 0.2), toxicity.risk(w - e, xp, xu, 0.2)
+        assert up[i] == pytest.approx((a[0] - b[0]) / 2e-6, abs=1e-6) and down[i] == pytest.approx((a[1] - b[1]) / 2e-6, abs=1e-6)
+    scores = rng.normal(size=500) * 4
+    assert (1 / (1 + np.exp(-scores - toxicity.settled_bias(scores, 0.07))) >= 0.3).mean() == pytest.approx(0.07)
+    tied = np.repeat([0.0, 3.0], [90, 10])  # no bias parts equal scores
+    assert (1 / (1 + np.exp(-tied - toxicity.settled_bias(tied, 0.12))) >= 0.3).mean() == 0.1
+    assert (1 / (1 + np.exp(-toxicity.settled_bias(np.zeros(5), 0.1)))) < 0.3
+
+
 def test_toxicity_weighs_every_selected_feature():
     rng = np.random.default_rng(3)
     marks = np.arange(100_000, 104_000)
