@@ -4,17 +4,23 @@ One shuffle brings the frequencies together by pre-token. Its rows are packed: o
 pre-token and block of documents, holding the documents' places in the block and the counts.
 So a pre-token that stands in every document still has only one short row for each block.
 """
+import os
 import re
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, tokenizer_path
+from .common import Numbers, small_batches, tokenizer_path
 
-BLOCK_CHARS = 12_000_000
+#: A block ends at so many characters, documents or distinct pre-tokens, whichever comes first.
+BLOCK_CHARS = 8_000_000
 BLOCK_DOCS = 60_000
+BLOCK_WORDS = 250_000
+#: Pre-tokens encoded at a time.
+ENCODE = 2_000
 PACKED = "token string, block string, places binary, counts binary, ids array<bigint>, n_bytes array<bigint>"
 #: Letters, digits and blanks among U+0000 to U+00FF, as the file's pattern classes them (fixed values).
 L1 = "a-zA-ZªµºÀ-ÖØ-öø-ÿ"
@@ -31,6 +37,7 @@ class PreTokenizer:
 
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks run side by side already; threads only cost memory
         spec = json.load(open(path, encoding="utf-8"))
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.cut = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
@@ -41,8 +48,10 @@ class PreTokenizer:
         bare = dict(spec)
         bare["normalizer"] = None
         self.pieces = Tokenizer.from_str(json.dumps(bare))
-        split = steps[0]
-        self.fast = split.get("pattern", {}).get("Regex") == r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+        self.pieces.model._resize_cache(0)  # every pre-token comes once
+        split, norm = steps[0], (spec["normalizer"] or {}).get("normalizers", [])
+        known = [n["type"] for n in norm] == ["NFC", "Replace", "Lowercase"] and norm[1]["pattern"] == {"Regex": r"\s+"} and norm[1]["content"] == " "
+        self.fast = known and split.get("pattern", {}).get("Regex") == r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
     def words(self, text: str) -> tuple[list, int]:
         """Pre-tokens of a text and the number of special strings in it."""
@@ -64,16 +73,25 @@ class PreTokenizer:
 
     def counts(self, words: list) -> np.ndarray:
         """Number of pieces of each pre-token; only lengths leave the encoder."""
-        return np.fromiter((len(e.ids) for e in self.pieces.encode_batch(words, add_special_tokens=False)), np.int64, len(words))
+        out = np.empty(len(words), np.int64)
+        for lo in range(0, len(words), ENCODE):
+            out[lo:lo + ENCODE] = [len(e) for e in self.pieces.encode_batch_fast(words[lo:lo + ENCODE], add_special_tokens=False)]
+        return out
+
+
+@lru_cache(maxsize=2)
+def pre_tokenizer(path: str) -> PreTokenizer:
+    """One for each worker process, whichever tasks it runs."""
+    return PreTokenizer(path)
 
 
 def _pack(path: str):
     def run(batches):
         from pyspark import TaskContext
 
-        pre = PreTokenizer(path)
+        pre = pre_tokenizer(path)
         part, n_block = TaskContext.get().partitionId(), 0
-        vocab: dict = {}
+        vocab = Numbers()
         terms, places, ids, sizes, specials, chars = [], [], [], [], [], 0
 
         def flush():
@@ -95,7 +113,7 @@ def _pack(path: str):
             at = np.searchsorted(term, np.arange(len(vocab) + 1))
             packed, counted = place.tobytes(), count.astype("u1").tobytes()
             names = list(vocab)
-            vocab = {}
+            vocab = Numbers()
             step = 20_000
             for lo in range(0, len(names), step):
                 hi = min(lo + step, len(names))
@@ -117,14 +135,14 @@ def _pack(path: str):
                 text = text or ""
                 words, n = pre.words(text)
                 if words:
-                    found = np.fromiter((vocab.setdefault(w, len(vocab)) for w in words), np.int32, len(words))
+                    found = vocab.of(words)
                     terms.append(found)
                     places.append(np.full(len(found), len(ids), np.int32))
                 ids.append(doc)
                 sizes.append(len(text.encode()))
                 specials.append(n)
                 chars += len(text)
-                if chars >= BLOCK_CHARS or len(ids) >= BLOCK_DOCS:
+                if chars >= BLOCK_CHARS or len(ids) >= BLOCK_DOCS or len(vocab) >= BLOCK_WORDS:
                     yield from flush()
         yield from flush()
 
@@ -186,7 +204,7 @@ def _sum(path: str):
     """Rows come sorted by token: each token is encoded once, its counts go to the documents' sums."""
 
     def run(batches):
-        pre = PreTokenizer(path)
+        pre = pre_tokenizer(path)
         sums = Sums()
         names = ["block", "places", "sums", "ids", "n_bytes"]
         nothing = pa.nulls(1, pa.list_(pa.int64()))
