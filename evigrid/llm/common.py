@@ -4,6 +4,8 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,10 +58,37 @@ def ascii_lower(col):
 
 
 def as_bytes(column) -> list:
-    """The UTF-8 bytes of an Arrow string column; null becomes empty."""
-    import pyarrow as pa
-
-    return [b"" if v is None else v for v in column.cast(pa.binary()).to_pylist()]
+    """The UTF-8 bytes of an Arrow string or binary column; null becomes empty."""
+    column = pc.fill_null(column.cast(pa.binary()), b"")
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    if not len(column):
+        return []
+    ends = np.frombuffer(column.buffers()[1], "<i4", len(column) + 1, 4 * column.offset)
+    raw = memoryview(column.buffers()[2] or b"")[ends[0]:ends[-1]].tobytes()
+    ends = (ends - ends[0]).tolist()
+    return [raw[i:j] for i, j in zip(ends, ends[1:])]
+
+
+def blank_words(column) -> tuple[list, np.ndarray, np.ndarray]:
+    """The blank-separated words of an Arrow string column, A-Z lower-cased; null is empty.
+
+    Distinct words as bytes, the number of each word in turn, and how many words each text has.
+    Splitting and telling apart is done on whole columns, so Python sees distinct words only.
+    """
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(column, "")))  # blanks: U+0020, U+0009 to U+000D
+    ends = lists.offsets.to_numpy()
+    coded = lists.flatten().dictionary_encode()
+    words, at = as_bytes(coded.dictionary), coded.indices.to_numpy()
+    sizes = np.diff(ends).astype(np.int64)
+    if b"" in words:  # before a leading blank, after a trailing one
+        empty = words.index(b"")
+        some = sizes > 0
+        first, last = ends[:-1][some] - ends[0], ends[1:][some] - 1 - ends[0]
+        sizes[some] -= (at[first] == empty).astype(np.int64) + ((at[last] == empty) & (last > first))
+        at = at[at != empty]
+        words[empty:empty + 1] = []
+        at = at - (at > empty)
+    return words, at, sizes
 
 
 class WordHash(dict):
