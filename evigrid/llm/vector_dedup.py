@@ -1,10 +1,13 @@
 """Embedding near-dedup by sorted projection passes.
 
-Each pass orders the vectors of a label by the concatenated signs of random projections. Vectors
-whose leading bits agree are neighbours in that order and form the pass's window; a window wider
-than a tile is compared in tiles, so none is cut off. The number of bits follows the label's size,
-the number of passes the bits, such that a pair at the threshold is missed with probability MISS.
-Pairs are verified in double precision and counted in the first pass that brings them together.
+Each pass orders the vectors of a label lexicographically by the concatenated signs of random
+projections. The leading bits cut that order into stretches of WIDTH vectors on average; a stretch
+and the one behind it form a window, so neighbours across a border meet as well. The number of bits
+follows the label's size, the number of passes the bits, such that a pair at the threshold shares no
+stretch with probability MISS. A window is compared in tiles of at most CHUNK by CHUNK, however many
+vectors it holds, so none is cut off. Ids go through the passes; vectors join them for the tiles.
+Pairs are verified in double precision, counted in the first pass that brings them together, and
+united across passes.
 """
 import math
 
@@ -15,11 +18,12 @@ from pyspark.sql import functions as F
 
 from .common import stored
 from .components import connected_components
-from .tiles import by_tile, groups, spanning, tile_rows
+from .tiles import CHUNK, by_tile, groups, spanning
 
 WIDTH = 256
 MISS = 1e-4
-MOST_BITS = 30
+MOST_BITS = 48
+KEYS = ["label", "dim", "pass", "code"]
 
 
 def passes(bits: int, cosine: float) -> int:
@@ -32,55 +36,88 @@ def _signs(n_pass: int, bits: int, dim: int) -> np.ndarray:
     return rng.standard_normal((dim, MOST_BITS))[:, :bits]
 
 
+class Orders:
+    """The places of vectors in the order of each pass, cut to the leading bits."""
+
+    def __init__(self, cosine: float):
+        self.cosine, self.made = cosine, {}
+
+    def of(self, x: np.ndarray, bits: int, n: int | None = None) -> np.ndarray:
+        """rows x passes (the first n of them), for unit vectors of one length."""
+        n = passes(bits, self.cosine) if n is None else n
+        if not bits or not n:
+            return np.zeros((len(x), n), np.int64)
+        if (bits, x.shape[1]) not in self.made:
+            self.made[bits, x.shape[1]] = np.concatenate([_signs(p, bits, x.shape[1]) for p in range(passes(bits, self.cosine))], axis=1)
+        on = (x @ self.made[bits, x.shape[1]][:, :n * bits] > 0).reshape(len(x), n, bits)
+        return on @ (1 << np.arange(bits - 1, -1, -1, dtype=np.int64))
+
+
+def unit(column) -> np.ndarray:
+    """Rows of an Arrow list column as unit vectors in double precision."""
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    x = np.asarray(flat.flatten(), np.float64).reshape(len(flat), -1)
+    x = x / np.abs(x).max(axis=1, keepdims=True)  # keeps very large and very small ones in range
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
+
 def _codes(cosine: float):
+    """Rows of one label and length come in runs, since bits and dim are made per run of equal ones."""
+
     def run(batches):
-        made: dict = {}
+        orders = Orders(cosine)
         for batch in batches:
-            bits, dims = batch.column("bits").to_pylist(), batch.column("dim").to_pylist()
-            codes = []
-            for row, (k, d) in enumerate(zip(bits, dims)):
-                n = passes(k, cosine)
-                if k == 0:
-                    codes.append([0])
-                    continue
-                if (k, d) not in made:
-                    made[k, d] = np.concatenate([_signs(p, k, d) for p in range(n)], axis=1)
-                x = np.array(batch.column("v")[row].as_py())
-                on = (x @ made[k, d] > 0).reshape(n, k)
-                codes.append((on @ (1 << np.arange(k - 1, -1, -1))).tolist())
-            yield pa.RecordBatch.from_arrays([batch.column(n) for n in ("label", "dim", "rep", "mult", "v")] + [pa.array(codes, pa.list_(pa.int32()))], ["label", "dim", "rep", "mult", "v", "codes"])
+            bits, dims = (np.array(batch.column(k).to_pylist(), np.int64) for k in ("bits", "dim"))
+            codes: list = [None] * batch.num_rows
+            for k, d in {*zip(bits.tolist(), dims.tolist())}:
+                at = np.flatnonzero((bits == k) & (dims == d))
+                found = orders.of(unit(batch.column("v").take(pa.array(at))), k)
+                for i, row in zip(at.tolist(), found.tolist()):
+                    codes[i] = row
+            yield pa.RecordBatch.from_arrays([batch.column(n) for n in ("label", "dim", "bits", "cls")] + [pa.array(codes, pa.list_(pa.int64()))], ["label", "dim", "bits", "cls", "codes"])
 
     return run
 
 
-def _matrix(column) -> np.ndarray:
-    flat = column.combine_chunks()
-    x = np.asarray(flat.flatten(), np.float64).reshape(len(flat), -1)
-    x = x / np.abs(x).max(axis=1, keepdims=True)  # keeps very large and very small ones in range
-    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+def tiles_of(runs: DataFrame) -> DataFrame:
+    """The tiles of each row of runs(label, dim, pass, code, ...): i, j, and own, the row's chunk.
+
+    The window of a code holds that code's rows and those of the next one. The first make nl chunks,
+    the second nr further ones; tiles are all pairs of chunks but for those of the second among themselves.
+    """
+    m = runs.groupBy(*KEYS).agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("nl"), F.count(F.lit(1)).alias("m"))
+    behind = m.select("label", "dim", "pass", (F.col("code") - 1).alias("code"), F.col("nl").alias("nr"))
+    sizes = m.join(behind, KEYS, "left").withColumn("nr", F.coalesce("nr", F.lit(0))).where("m > 1 or nr > 0").select(*KEYS, "nl", "nr")
+    deal = lambda n: F.pmod(F.xxhash64("cls"), n).cast("int")
+    left = runs.join(sizes, KEYS).withColumn("own", deal(F.col("nl"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nl") + F.col("nr") - 1)))
+    right = runs.withColumn("code", F.col("code") - 1).join(sizes.where("nr > 0"), KEYS).withColumn("own", F.col("nl") + deal(F.col("nr"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nl") - 1)))
+    return left.unionByName(right).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other", "nl", "nr")
 
 
 def _tile_links(cosine: float):
     def run(batches):
+        orders = Orders(cosine)
         for key, rows in groups(batches, 6):
             p, i, j = key[2], key[4], key[5]
-            reps, mult = np.array(rows.column("rep").to_pylist()), np.array(rows.column("mult").to_pylist())
+            cls, mult = np.array(rows.column("cls").to_pylist()), np.array(rows.column("mult").to_pylist())
             own = np.array(rows.column("own").to_pylist())
-            x, codes = _matrix(rows.column("v")), np.array(rows.column("codes").to_pylist())[:, :p]
+            x = unit(rows.column("v"))
             left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
             near = x[left] @ x[right].T >= cosine
             if i == j:
                 near &= left[:, None] < right[None, :]
             a, b = np.nonzero(near)
             a, b = left[a], right[b]
-            first = ~(codes[a] == codes[b]).any(axis=1)  # no earlier pass has had this pair
-            a, b = a[first], b[first]
-            links = np.bincount(a, mult[b], len(reps)) + np.bincount(b, mult[a], len(reps))
+            if len(a):
+                codes = orders.of(x, rows.column("bits")[0].as_py(), p)
+                first = ~(np.abs(codes[a] - codes[b]) <= 1).any(axis=1)  # no window of an earlier pass has had this pair
+                a, b = a[first], b[first]
+            links = np.bincount(a, mult[b], len(cls)) + np.bincount(b, mult[a], len(cls))
             has = np.flatnonzero(links)
             ends = spanning(a, b)
             yield pa.RecordBatch.from_arrays([
-                pa.array(np.concatenate([reps[has], reps[[u for u, _ in ends]]]) if len(has) else np.empty(0, np.int64), pa.int64()),
-                pa.array([None] * len(has) + [int(reps[v]) for _, v in ends], pa.int64()),
+                pa.array(np.concatenate([cls[has], cls[[u for u, _ in ends]]]) if len(has) else np.empty(0, np.int64), pa.int64()),
+                pa.array([None] * len(has) + [int(cls[v]) for _, v in ends], pa.int64()),
                 pa.array(links[has].astype(np.int64).tolist() + [0] * len(ends), pa.int64())], ["a", "b", "n"])
 
     return run
@@ -91,27 +128,31 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98) -> DataFrame:
 
     Vectors are compared when labels and lengths are equal. Vectors that are null, empty or zero,
     hold null or non-finite components, or have a null label link with nothing and stand alone.
-    Equal vectors are one class that is compared once; its members link with each other. Rows of
-    a repeated vec_id are rows of their own; a null vec_id stays null and alone. Other columns
-    are not looked at.
+    Equal vectors of a label are one class that is compared once; its members link with each other.
+    Rows that repeat a vec_id are rows of their own, each with its own links and component; a null
+    vec_id stays null and alone. Other columns are not looked at, and an empty table gives none.
     """
-    whole = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("v"))
+    item = vectors.schema["embedding"].dataType.elementType.simpleString()
+    kind = f"array<{'float' if item == 'float' else 'double'}>"  # single precision becomes double exactly
+    whole = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("label").cast("string").alias("label"), F.col("embedding").cast(kind).alias("v"))
     fine = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("v").isNotNull() & F.forall("v", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))) & F.exists("v", lambda e: e != 0)
     marked = whole.withColumn("fine", F.coalesce(fine, F.lit(False)))
-    classes = stored(marked.where("fine").groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("mult")).withColumn("dim", F.size("v")), "classes")
-    sizes = classes.groupBy("label", "dim").agg(F.greatest(F.lit(0), F.ceil(F.log2(F.count(F.lit(1)) / WIDTH))).cast("int").alias("bits"))
-    sizes = sizes.withColumn("bits", F.least("bits", F.lit(MOST_BITS)))
-    coded = classes.join(sizes, ["label", "dim"]).select("label", "dim", "rep", "mult", "v", "bits").mapInArrow(_codes(cosine), "label string, dim int, rep bigint, mult bigint, v array<double>, codes array<int>")
-    runs = stored(coded.select("*", F.posexplode("codes").alias("pass", "code")), "passes")
-    group = ["label", "dim", "pass", "code"]
-    m = runs.groupBy(*group).agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    keys = [*group, "i", "j"]
-    tiles = by_tile(tile_rows(runs, group, m, F.col("rep")).select(*keys, "own", "rep", "mult", "v", "codes"), keys)
+    classes = marked.where("fine").groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("mult")).withColumn("dim", F.size("v"))
+    classes = stored(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
+    bits = F.greatest(F.lit(0), F.ceil(F.log2(F.count(F.lit(1)) / WIDTH))).cast("int")
+    sizes = classes.groupBy("label", "dim").agg(F.least(bits, F.lit(MOST_BITS)).alias("bits"))
+    coded = classes.join(sizes, ["label", "dim"]).select("label", "dim", "bits", "cls", "v").mapInArrow(_codes(cosine), "label string, dim int, bits int, cls bigint, codes array<bigint>")
+    runs = stored(coded.select("label", "dim", "bits", "cls", F.posexplode("codes").alias("pass", "code")), "passes")
+    keys = [*KEYS, "i", "j"]
+    tiles = by_tile(tiles_of(runs).join(classes.select("cls", "mult", "v"), "cls").select(*keys, "own", "bits", "cls", "mult", "v"), keys)
     found = stored(tiles.mapInArrow(_tile_links(cosine), "a bigint, b bigint, n bigint"), "vector-links")
-    links = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("links"))
+    links = found.where("b is null").groupBy(F.col("a").alias("cls")).agg(F.sum("n").alias("links"))
     comps = connected_components(found.where("b is not null").select("a", "b"))
-    full = classes.select("label", "v", "rep", "mult").join(links, "rep", "left").join(comps, F.col("rep") == F.col("node"), "left")
-    known = full.select("label", "v", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    named = comps.join(classes.select(F.col("cls").alias("node"), "rep"), "node")
+    least = named.groupBy("component").agg(F.min("rep").alias("root"))
+    roots = named.join(least, "component").select(F.col("node").alias("cls"), "root")
+    full = classes.select("label", "v", "rep", "mult", "cls").join(links, "cls", "left").join(roots, "cls", "left")
+    known = full.select("label", "v", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
     good = marked.where("fine").join(known, ["label", "v"]).select("vec_id", "n_links", "component_id")
     alone = marked.where("not fine").select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))
     return good.unionAll(alone).select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"))

@@ -401,6 +401,25 @@ def test_vectors(spark, data):
     assert got[20_000]["component_id"] == min(20_000, rows[1][0])
 
 
+def test_vectors_recall_and_repeats(spark):
+    """Links found against all pairs where a label needs bits and passes; repeated ids keep their own links."""
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(500, 24))
+    x = np.concatenate([base[rng.integers(0, 500, 5000)] + rng.normal(scale=0.07, size=(5000, 24)), rng.normal(size=(1500, 24))]).astype(np.float32)
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(x)]
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    link = u @ u.T >= 0.98
+    np.fill_diagonal(link, False)
+    got = {r["vec_id"]: r["n_links"] for r in vector_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()}
+    want = link.sum(1)
+    assert want.sum() > 4000 and all(got[i] <= n for i, n in enumerate(want)) and sum(got.values()) >= 0.999 * want.sum()
+    a, b, c = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]
+    more = [(5, a, 1, "x"), (6, [1.0, 0.01, 0.0], 1, "x"), (7, a, 1, "x"), (5, b, 1, "x"), (5, c, 1, "x"), (3, [0.0, 0.01, 1.0], 1, "x"), (None, a, 1, "x")]
+    df = spark.createDataFrame(more, "vec_id long, embedding array<double>, label int, code string")
+    assert sorted(map(tuple, vector_dedup.near_vectors(df).where("vec_id is not null").collect())) == [(3, 1, 3, True), (5, 0, 5, True), (5, 1, 3, False), (5, 2, 5, True), (6, 2, 5, False), (7, 2, 5, False)]
+    assert vector_dedup.near_vectors(df.where("vec_id > 99")).count() == 0
+
+
 def test_token_counts(docs, odd, none):
     from tokenizers import Tokenizer
 
