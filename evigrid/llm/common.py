@@ -29,6 +29,8 @@ def shared_dir(spark: SparkSession, tag: str) -> str:
     if not root:
         root = spark.conf.get("spark.evigrid.tmp", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.evigrid.tmp", root)
     return f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
