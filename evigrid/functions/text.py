@@ -14,7 +14,7 @@ DASHES = "‐‑‒–—―−"
 SINGLE_QUOTES = "‘’‚‛′"
 DOUBLE_QUOTES = "“”„‟″"
 #: Lower-case particles that belong to a family name.
-NAME_PARTICLES = ("van", "von", "de", "der", "den", "del", "della", "di", "da", "dos", "du", "la", "le", "ten", "ter", "bin", "al", "el")
+NAME_PARTICLES = ("van", "von", "de", "del", "della", "der", "den", "du", "da", "das", "dos", "di", "la", "le", "el", "al", "ter", "ten", "op", "bin", "ibn")
 
 
 def col(c) -> Column:

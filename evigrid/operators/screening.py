@@ -22,8 +22,8 @@ def guarded(rows: DataFrame) -> DataFrame:
     a decision to NEEDS_REVIEW only; the first that applies names the reason.
     """
     decision, criterion = F.col("decision"), F.col("criterion")
-    anchored = F.map_from_entries("anchors")  # of repeated slots the last counts, by the session's LAST_WIN policy
-    loose = F.exists("slots", lambda s: ~F.coalesce(is_verbatim(F.try_element_at(anchored, s), "shown", True), F.lit(False)))
+    anchored = lambda s: F.try_element_at(F.filter("anchors", lambda a: a["slot"] == s), F.lit(-1))["quote"]  # noqa: E731  # of repeated slots the last counts
+    loose = F.exists("slots", lambda s: ~F.coalesce(is_verbatim(anchored(s), "shown", True), F.lit(False)))
     reason = (F.when(decision.isNull(), "missing_decision")
               .when(~decision.isin("INCLUDE", "EXCLUDE", "NEEDS_REVIEW"), "unknown_decision")
               .when(decision == "NEEDS_REVIEW", None)

@@ -47,7 +47,6 @@ def review_record(spark, d):
 g as (select doc_id, decision, case when decision is null then 'missing_decision' when decision = 'MAYBE' then 'unknown_decision' when decision = 'NEEDS_REVIEW' then null when decision = 'EXCLUDE' and criterion is null then 'no_criterion' when decision = 'EXCLUDE' and criterion = 'E9' then 'unknown_criterion' when decision = 'EXCLUDE' and criterion = 'E2' then 'full_text_criterion' when decision = 'EXCLUDE' and not fine then 'quote_not_verbatim' when decision = 'INCLUDE' and not fine then 'unanchored_include' end as guard_reason from p)
 select doc_id, guard_reason, case when guard_reason is not null then 'NEEDS_REVIEW' else decision end as status from g""")
 def decision_guards(spark, d):
-    spark.conf.set("spark.sql.mapKeyDedupPolicy", "LAST_WIN")
     n = F.col("doc_id")
     decision = F.when(n % 13 == 0, None).when(n % 3 == 0, "EXCLUDE").when(n % 7 == 0, "NEEDS_REVIEW").when(n % 17 == 0, "MAYBE").otherwise("INCLUDE")
     criterion = F.when(n % 5 == 0, None).when(n % 2 == 0, "E1").when(n % 11 == 0, "E9").otherwise("E2")

@@ -23,11 +23,14 @@ def session(name: str = "evigrid", cores: int | str = "*", partitions: int = 8)
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """df checkpointed to the folder that the session names; a session without one (a local test)
-    gets a temporary folder."""
+    """df checkpointed to the folder that the session names. A local session without one gets a
+    temporary folder; on a cluster, where executors could not see it, that is an error."""
     import tempfile
 
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-shared-"))
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="spark-shared-"))
     return df.checkpoint()

@@ -193,6 +193,40 @@ def test_edits(spark):
         edits.plan_updates([{"name": "a"}, {"name": "b"}], [{"name": "a", "new_name": "b"}])
 
 
+def test_two_edits_of_a_cell_need_an_order(spark):
+    df = spark.createDataFrame([(0, "a"), (1, "b")], "row_index int, x string")
+    e = spark.createDataFrame([(0, "x", "c", 2), (0, "x", "d", 1)], "row_index int, column string, value string, ord int")
+    assert sorted(map(tuple, edits.apply_edits(df, e).collect())) == [(0, "c"), (1, "b")]
+    with pytest.raises(ValueError):
+        edits.apply_edits(df, e.drop("ord"))
+
+
+def test_planned_updates():
+    cols = [{"name": n, "dtype": "text", "role": "x"} for n in "abc"]
+    plan = edits.plan_updates(cols, [{"name": "a", "deleted": True, "new_name": "q"}, {"name": "b", "new_name": "z", "dtype": "numeric"}, {"name": "b", "dtype": "numeric"}, {"name": "nope", "role": "y"}, {"name": "c", "role": "y"}, {"name": "a", "deleted": True}])
+    assert (plan["dropped"], plan["renames"], plan["dtypes"], plan["applied"]) == (["a"], {"b": "z"}, {"b": "numeric"}, 3)
+    assert plan["columns"] == [{"name": "z", "dtype": "numeric", "role": "x"}, {"name": "c", "dtype": "text", "role": "y"}]
+
+
+def test_citation_forms(spark):
+    cases = {"as shown (see Smith, 2020; van Dijk & Jones, 2019b, p. 4)": {("Smith", "2020"), ("van Dijk", "2019b")}, "As Smith, Jones, and Brown (2018) say": {("Smith", "2018")}, "work of de la Cruz et al. (n.d.) and Hall's (in press) view": {("de la Cruz", "n.d."), ("Hall", "in press")},
+             "(Freud, 1910, as cited in O'Brien, 1999)": {("O'Brien", "1999")}, "the World Bank (2021, chap. 2)": {("Bank", "2021")}, "In 2019 (about 40 cases) nothing": set(), "García-López, Smith (2001)": {("Smith", "2001")}, "under Smith (1999) and Op den Kamp (2000)": {("Smith", "1999"), ("Op den Kamp", "2000")}, None: set()}
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(cases)], "i int, t string")
+    got = {r["i"]: {(x["surname"], x["year"]) for x in r["c"]} for r in df.select("i", claims.citations("t").alias("c")).collect()}
+    assert got == dict(enumerate(cases.values()))
+
+
+def test_numerals_are_read_from_whole_words(spark):
+    df = spark.createDataFrame([("CTLA-4 rose 12.5% from 1,200 (n=34), 5-7 of 10.2, v2 in 2019; Table 3",)], "t string")
+    assert [(x["value"], x["percent"]) for x in df.select(claims.numerals("t").alias("n")).first()["n"]] == [(12.5, True), (1200.0, False), (34.0, False), (5.0, False), (10.2, False)]
+
+
+def test_distances_have_no_limit(spark):
+    e = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(60)], "src string, dst string")
+    got = {r["node"]: r["d"] for r in graph.distances(e, spark.createDataFrame([("n0",)], "node string")).collect()}
+    assert got == {f"n{i}": i for i in range(61)}
+
+
 def test_table_files(spark, tmp_path):
     (tmp_path / "t.csv").write_text("a,b,c\n1,x,NA\n2,,3.5\n")
     df = files.read_table(spark, str(tmp_path / "t.csv"))
