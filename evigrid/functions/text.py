@@ -244,6 +244,11 @@ def public_url(c) -> Column:
     return F.regexp_replace(col(c), r"[?#].*$", "")
 
 
+def is_reprint_venue(c) -> Column:
+    """Year books reprint what appeared elsewhere."""
+    return F.coalesce(F.lower(F.trim(col(c))).rlike(r"^year\s*book\b"), F.lit(False))
+
+
 def csv_cell(c) -> Column:
     """A cell that a spreadsheet does not take for a formula."""
     s = col(c).cast("string")

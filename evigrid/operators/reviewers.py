@@ -93,7 +93,7 @@ def frame_class(residue) -> Column:
     return F.when((content == 0) & ~strong, "f1").when(strong, None).when(r.rlike(r":$"), "f2").when(F.lower(r).rlike(r"^(in|on|for|across|among|within|during|by|moreover|however|similarly|overall)\b.*,$"), "f3").when(content <= 2, "f1")
 
 
-#: Rules that sort a reviewer's reason, tried in this order.
+#: Own rules, not the only ones that fit: they sort a reviewer's reason, tried in this order.
 REASON_RULES = (("population", r"(?i)\b(population|participants?|patients?|adults?|children|students?)\b"), ("outcome", r"(?i)\b(outcome|measure[sd]?|endpoint)\b"), ("design", r"(?i)\b(design|trial|cohort|review|protocol|study type)\b"), ("topic", r"(?i)\b(topic|scope|off-topic|unrelated)\b"))
 
 
