@@ -93,8 +93,7 @@ def numbered_citations(c, most: int) -> Column:
 
 def cap(status: Column, floor: Column) -> Column:
     """The stricter of two statuses; statuses outside the lattice and null floors change nothing."""
-    at = lambda s: F.when(s == RANK[0], 0).when(s == RANK[1], 1).when(s == RANK[2], 2)
-    return F.when(at(floor) > at(status), floor).otherwise(status)
+    return F.when(_rank(floor) > _rank(status), floor).otherwise(status)
 
 
 def quote_segments(c) -> Column:
@@ -159,24 +158,45 @@ def guarded(rows: DataFrame) -> DataFrame:
 
     Needs status, claim, quote, chunks (array of texts) and assertions (array of struct(verdict, central)).
     no_full_text with chunks at hand becomes unsupported; error and no_full_text without chunks pass.
+    Texts are folded and numbers read once for each row; the guards are flags over those, and the
+    status is the strictest floor of the flags that are set.
     """
-    n_chunks = F.size(F.coalesce("chunks", F.array().cast("array<string>")))
-    live = F.col("_s").isin(*RANK)
-    steps = [
-        ("no_full_text_with_chunks", None, (F.col("_s") == "no_full_text") & (n_chunks > 0), "unsupported"),
-        ("attribution_mismatch", live, (F.coalesce(term_coverage("claim", "chunks"), F.lit(1.0)) < COVERAGE) & ~located("quote", "chunks"), "unsupported"),
-        ("assertion_status_inconsistent", live, _assertion_floor("assertions").isNotNull(), _assertion_floor("assertions")),
-        ("quote_not_verbatim", live & (F.col("_s") == "verified"), ~all_located("quote", "chunks"), "needs_nuance"),
-        ("numeric_value_absent", live, F.size(missing_numerals("claim", "chunks")) > 0, "needs_nuance"),
-    ]
-    out = rows.withColumn("_s", F.col("status")).withColumn("machine_reasons", F.array().cast("array<string>"))
-    for slug, when, fires, floor in steps:
-        floor = F.lit(floor) if isinstance(floor, str) else floor
-        on = F.coalesce(fires if when is None else when & fires, F.lit(False))
-        out = out.withColumns({"_s": F.when(on, floor if when is None else cap(F.col("_s"), floor)).otherwise(F.col("_s")), "machine_reasons": F.when(on, F.concat("machine_reasons", F.array(F.lit(slug)))).otherwise(F.col("machine_reasons"))})
+    from .scale import negation_shifted, scale_shifts
+
+    kept = rows.columns
+    chunks = F.coalesce("chunks", F.array().cast("array<string>"))
+    read = rows.select("*", F.transform(chunks, lambda x: letters_digits(x)).alias("_folded"), F.transform(quote_segments("quote"), lambda x: letters_digits(x)).alias("_segments"), numerals("claim").alias("_said"), F.transform(chunks, lambda x: numerals(x)).alias("_read"))
+    # each of the columns above is named at least twice below, which keeps the optimizer from
+    # moving it into the functions that run over segments and chunks
+    holds = F.transform("_folded", lambda x: F.exists("_segments", lambda s: F.contains(x, s)))
+    whole = F.forall("_segments", lambda s: F.exists("_folded", lambda x: F.contains(x, s)))
+    same = lambda n, h: numerals_equivalent(n["value"], n["percent"], h["value"], h["percent"])
+    absent = F.filter("_said", lambda n: ~F.exists(F.flatten("_read"), lambda h: same(n, h)))
+    seen = read.select("*", holds.alias("_holds"), whole.alias("_whole"), absent.alias("_absent"), (F.size("_folded") > 0).alias("_has_chunks"), (F.size("_segments") > 0).alias("_has_segments"))
+    cited = F.flatten(F.filter(F.zip_with("_read", "_holds", lambda r, h: F.when(h, r)), lambda r: r.isNotNull()))
+    outside = F.exists("_said", lambda n: ~F.exists("_absent", lambda a: a == n) & ~F.exists(cited, lambda h: same(n, h)))
+    located = F.exists("_holds", lambda h: h)
+    flags = seen.select(*kept, "_holds", "_whole", (F.size("_absent") > 0).alias("_unread"), ((F.col("status") == "no_full_text") & F.col("_has_chunks")).alias("_g1"),
+                        ((F.coalesce(term_coverage("claim", "chunks"), F.lit(1.0)) < COVERAGE) & ~located).alias("_g2"), _assertion_floor("assertions").alias("_g3"), (located & outside).alias("_g6"))
+    start = F.when(F.col("_g1"), RANK[2]).otherwise(F.col("status"))
+    live = start.isin(*RANK)
+    rank = F.greatest(_rank(start), F.when(F.col("_g2"), 2).otherwise(0), F.coalesce(_rank(F.col("_g3")), F.lit(0)))
+    ranked = flags.select("*", start.alias("_start"), F.coalesce(live, F.lit(False)).alias("_live"), rank.alias("_r"))
+    unquoted = F.col("_live") & (F.col("_r") == 0) & ~F.col("_whole")
+    verified = F.col("_live") & (F.col("_r") == 0) & F.col("_whole")
+    quotes = F.array("quote")
+    shifts = ranked.select("*", unquoted.alias("_g4"), (verified & (F.size(F.when(verified, scale_shifts("claim", quotes))) > 0)).alias("_g5a"), (verified & F.coalesce(F.when(verified, negation_shifted("claim", quotes)), F.lit(False))).alias("_g5b"))
+    slugs = [("no_full_text_with_chunks", F.col("_g1")), ("attribution_mismatch", F.col("_live") & F.col("_g2")), ("assertion_status_inconsistent", F.col("_live") & F.col("_g3").isNotNull()), ("quote_not_verbatim", F.col("_g4")),
+             ("scale_word_mismatch", F.col("_g5a")), ("negation_scope_shift", F.col("_g5b")), ("numeric_outside_cited_passage", F.col("_live") & F.col("_g6")), ("numeric_value_absent", F.col("_live") & F.col("_unread"))]
+    softened = F.col("_g4") | F.col("_g5a") | F.col("_g5b") | F.col("_g6") | F.col("_unread")
+    final = F.when(F.col("_live"), F.get(F.array(*[F.lit(s) for s in RANK]), F.greatest(F.col("_r"), softened.cast("int")))).otherwise(F.col("_start"))
     unmarked = F.size(F.filter("assertions", lambda a: F.coalesce(a["central"], F.lit(False)))) != 1
-    diagnostics = F.array_compact(F.array(F.when((F.size("assertions") > 0) & unmarked & ~F.exists("assertions", lambda a: a["verdict"] == "contradicted"), "centrality_unmarked")))
-    return out.withColumn("diagnostics", diagnostics).withColumnRenamed("_s", "final_status")
+    diagnostics = F.array_compact(F.array(F.when((F.size("assertions") > 0) & unmarked & ~F.exists("assertions", lambda a: a["verdict"] == "contradicted"), "centrality_unmarked"), F.when(F.col("_unread"), "numeric_not_in_source")))
+    return shifts.select(*kept, final.alias("final_status"), F.array_compact(F.array(*[F.when(on, F.lit(name)) for name, on in slugs])).alias("machine_reasons"), diagnostics.alias("diagnostics"))
+
+
+def _rank(s: Column) -> Column:
+    return F.when(s == RANK[0], 0).when(s == RANK[1], 1).when(s == RANK[2], 2)
 
 
 def _assertion_floor(c) -> Column:
@@ -192,6 +212,13 @@ def status_counts(rows: DataFrame, status: str = "final_status") -> DataFrame:
     return rows.agg(*[F.count_if(F.col(status) == s).alias(s) for s in names], F.count(F.lit(1)).alias("total"))
 
 
+def tallied(rows: DataFrame, slugs: str, by: list[str] = ()) -> DataFrame:
+    """slug, n and the group's number of flagged rows, of an array column of slugs."""
+    counts = rows.select(*by, F.explode(slugs).alias("slug")).groupBy(*by, "slug").agg(F.count(F.lit(1)).alias("n"))
+    totals = rows.groupBy(*by).agg(F.count_if(F.size(slugs) > 0).alias("n_flagged"), F.count(F.lit(1)).alias("n_rows"))
+    return totals.join(counts, list(by), "left") if by else counts.crossJoin(totals)
+
+
 def reason_counts(rows: DataFrame) -> DataFrame:
     """reason, n, and n_changed: rows with it whose status the guards changed."""
     r = rows.select(F.explode("machine_reasons").alias("reason"), (F.col("status") != F.col("final_status")).alias("c"))

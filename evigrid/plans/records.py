@@ -62,11 +62,12 @@ def venue_enrich_last_wins(spark, d):
     return joins.enrich_matched(p, venues(spark, d)).select("id", "indexed", "collection")
 
 
-@query(f"""with {RECORDS_SQL}, old as (select * , 'id' || cast(pos as varchar) as id from records where pos % 3 = 0), byd as (select doi, min(id) as id from old where doi is not null group by doi), bye as (select external_id, min(id) as id from old group by external_id)
+@query(f"""with {RECORDS_SQL}, old as (select pos, case when pos % 3 = 1 then null else doi end as doi, case when pos % 3 = 0 then external_id else 'X' || cast(pos as varchar) end as external_id, 'id' || cast(pos as varchar) as id from records), byd as (select doi, min(id) as id from old where doi is not null group by doi), bye as (select external_id, min(id) as id from old group by external_id)
 select pos, coalesce(byd.id, bye.id, sha256(coalesce(r.doi, '') || '|' || coalesce(r.external_id, '') || '|' || coalesce(r.title, ''))) as paper_id, byd.id is null and bye.id is null as is_new from records r left join byd on r.doi = byd.doi left join bye on r.external_id = bye.external_id""")
 def resolve_records(spark, d):
     r = records(spark, d)
-    old = r.where("pos % 3 = 0").withColumn("id", F.concat(F.lit("id"), F.col("pos").cast("string")))
+    p = F.col("pos")
+    old = r.withColumns({"id": F.concat(F.lit("id"), p.cast("string")), "doi": F.when(p % 3 != 1, F.col("doi")), "external_id": F.when(p % 3 == 0, F.col("external_id")).otherwise(F.concat(F.lit("X"), p.cast("string")))})
     return joins.resolve_ids(r, old).select("pos", "paper_id", "is_new")
 
 

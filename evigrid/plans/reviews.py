@@ -31,11 +31,12 @@ def gate_effect(spark, d):
     return g.withColumns({c: F.round(c, 9) for c in ("share", "share_of_resolved")})
 
 
-@query(f"""with {RECORDS_SQL}, w as (select pos as work_id, case when pos % 2 = 0 then external_id end as external_id, doi, title from records where pos % 3 = 0), byid as (select external_id as k, min(work_id) as w from w where external_id is not null group by 1), byd as (select lower(doi) as k, min(work_id) as w from w where doi is not null group by 1), byt as (select trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')) as k, min(work_id) as w from w group by 1 having length(k) >= 15)
+@query(f"""with {RECORDS_SQL}, w as (select pos as work_id, case when pos % 6 = 0 then external_id end as external_id, case when pos % 3 = 1 then doi end as doi, case when pos % 3 = 2 then title else 'another title altogether ' || cast(pos as varchar) end as title from records), byid as (select external_id as k, min(work_id) as w from w where external_id is not null group by 1), byd as (select lower(doi) as k, min(work_id) as w from w where doi is not null group by 1), byt as (select trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')) as k, min(work_id) as w from w group by 1 having length(k) >= 15)
 select r.pos as record_id, coalesce(byid.w, byd.w, byt.w) as work_id, case when byid.w is not null then 'id' when byd.w is not null then 'doi' when byt.w is not null then 'title' end as route from records r left join byid on r.external_id = byid.k left join byd on lower(r.doi) = byd.k left join byt on trim(regexp_replace(lower(r.title), '[^a-z0-9]+', ' ', 'g')) = byt.k""")
 def hydration_routes(spark, d):
     r = records(spark, d).select(F.col("pos").alias("record_id"), "external_id", "doi", "title")
-    w = records(spark, d).where("pos % 3 = 0").select(F.col("pos").alias("work_id"), F.when(F.col("pos") % 2 == 0, F.col("external_id")).alias("external_id"), "doi", "title")
+    p = F.col("pos")
+    w = records(spark, d).select(p.alias("work_id"), F.when(p % 6 == 0, F.col("external_id")).alias("external_id"), F.when(p % 3 == 1, F.col("doi")).alias("doi"), F.when(p % 3 == 2, F.col("title")).otherwise(F.concat(F.lit("another title altogether "), p.cast("string"))).alias("title"))
     return evaluation.hydrate(r, w).select("record_id", "work_id", "route")
 
 
