@@ -21,6 +21,16 @@ def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value, body) -> Column:
+    """body(value) with value computed once, however often body and the functions in it name it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def word_set(words) -> Column:
+    """A constant array of words without blanks, for array_contains: one literal, however many they are."""
+    return F.split(F.lit(" ".join(words)), " ")
+
+
 def blank_to_null(c) -> Column:
     c = F.trim(col(c))
     return F.when(F.length(c) > 0, c)

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import numerals_equivalent
-from ..functions.text import NAME_PARTICLES, col, letters_digits
+from ..functions.text import NAME_PARTICLES, col, let, letters_digits
 
 RANK = ("verified", "needs_nuance", "unsupported")
 #: Fixed values of the quote and coverage rules.
@@ -107,23 +107,28 @@ def quote_segments(c) -> Column:
     return F.when(F.size(first) > 0, first).otherwise(long(F.array(q)))
 
 
+def _folded(chunks) -> Column:
+    return F.transform(col(chunks), lambda x: letters_digits(x))
+
+
+def _folded_segments(quote) -> Column:
+    return F.transform(quote_segments(quote), lambda s: letters_digits(s))
+
+
 def located(quote, chunks) -> Column:
     """Whether any segment of the quote stands in any chunk, letters and digits only."""
-    c = F.transform(col(chunks), lambda x: letters_digits(x))
-    return F.exists(quote_segments(quote), lambda s: F.exists(c, lambda x: F.contains(x, letters_digits(s))))
+    return let(_folded(chunks), lambda c: F.exists(_folded_segments(quote), lambda s: F.exists(c, lambda x: F.contains(x, s))))
 
 
 def all_located(quote, chunks) -> Column:
-    c = F.transform(col(chunks), lambda x: letters_digits(x))
-    return F.forall(quote_segments(quote), lambda s: F.exists(c, lambda x: F.contains(x, letters_digits(s))))
+    return let(_folded(chunks), lambda c: F.forall(_folded_segments(quote), lambda s: F.exists(c, lambda x: F.contains(x, s))))
 
 
 def quote_index(quote, chunks) -> Column:
     """Place (from 0) of the first chunk that holds the longest segment found; null if none is found."""
-    c = F.transform(col(chunks), lambda x: letters_digits(x))
-    hit = lambda s: F.array_position(F.transform(c, lambda x: F.contains(x, letters_digits(s))), F.lit(True))
-    found = F.filter(F.transform(quote_segments(quote), lambda s, i: F.struct((-F.length(s)).alias("l"), i.alias("i"), (hit(s) - 1).alias("at"))), lambda x: x["at"] >= 0)
-    return F.array_min(found)["at"]
+    hit = lambda c, s: F.array_position(F.transform(c, lambda x: F.contains(x, letters_digits(s))), F.lit(True)) - 1
+    found = let(_folded(chunks), lambda c: F.transform(quote_segments(quote), lambda s, i: F.struct((-F.length(s)).alias("l"), i.alias("i"), hit(c, s).alias("at"))))
+    return F.array_min(F.filter(found, lambda x: x["at"] >= 0))["at"]
 
 
 def numerals(c) -> Column:
@@ -141,7 +146,7 @@ def numerals(c) -> Column:
 def missing_numerals(claim, sources) -> Column:
     """Numerals of the claim that no text of an array of sources gives."""
     have = F.flatten(F.transform(col(sources), lambda s: numerals(s)))
-    return F.filter(numerals(claim), lambda n: ~F.exists(have, lambda h: numerals_equivalent(n["value"], n["percent"], h["value"], h["percent"])))
+    return let(have, lambda read: F.filter(numerals(claim), lambda n: ~F.exists(read, lambda h: numerals_equivalent(n["value"], n["percent"], h["value"], h["percent"]))))
 
 
 def term_coverage(claim, chunks, stop: tuple = ()) -> Column:
@@ -150,7 +155,14 @@ def term_coverage(claim, chunks, stop: tuple = ()) -> Column:
     terms = F.array_distinct(F.transform(F.regexp_extract_all(bare, F.lit(r"[A-Za-z][A-Za-z'-]{3,}"), F.lit(0)), lambda w: letters_digits(w)))
     terms = F.filter(terms, lambda w: ~w.isin(*stop)) if stop else terms
     hay = letters_digits(F.array_join(col(chunks), " "))
-    return F.try_divide(F.size(F.filter(terms, lambda w: F.contains(hay, w))).cast("double"), F.size(terms).cast("double"))
+    share = lambda t, h: F.try_divide(F.size(F.filter(t, lambda w: F.contains(h, w))).cast("double"), F.size(t).cast("double"))
+    return let(hay, lambda h: let(terms, lambda t: share(t, h)))
+
+
+def computed(rows: DataFrame) -> DataFrame:
+    """rows with their columns' values fixed: expressions above name them as they are, while the optimizer
+    would move a column's expression into each function that names it, to be computed there for each element."""
+    return rows.select(F.inline(F.array(F.struct(*rows.columns))))
 
 
 def guarded(rows: DataFrame) -> DataFrame:
@@ -165,27 +177,25 @@ def guarded(rows: DataFrame) -> DataFrame:
 
     kept = rows.columns
     chunks = F.coalesce("chunks", F.array().cast("array<string>"))
-    read = rows.select("*", F.transform(chunks, lambda x: letters_digits(x)).alias("_folded"), F.transform(quote_segments("quote"), lambda x: letters_digits(x)).alias("_segments"), numerals("claim").alias("_said"), F.transform(chunks, lambda x: numerals(x)).alias("_read"))
-    # each of the columns above is named at least twice below, which keeps the optimizer from
-    # moving it into the functions that run over segments and chunks
-    holds = F.transform("_folded", lambda x: F.exists("_segments", lambda s: F.contains(x, s)))
-    whole = F.forall("_segments", lambda s: F.exists("_folded", lambda x: F.contains(x, s)))
+    read = computed(rows).select("*", F.transform(chunks, lambda x: letters_digits(x)).alias("_folded"), F.transform(quote_segments("quote"), lambda x: letters_digits(x)).alias("_segments"), numerals("claim").alias("_said"), F.transform(chunks, lambda x: numerals(x)).alias("_read"))
+    holds = let(F.col("_segments"), lambda segs: F.transform("_folded", lambda x: F.exists(segs, lambda s: F.contains(x, s))))
+    whole = let(F.col("_folded"), lambda f: F.forall("_segments", lambda s: F.exists(f, lambda x: F.contains(x, s))))
     same = lambda n, h: numerals_equivalent(n["value"], n["percent"], h["value"], h["percent"])
-    absent = F.filter("_said", lambda n: ~F.exists(F.flatten("_read"), lambda h: same(n, h)))
-    seen = read.select("*", holds.alias("_holds"), whole.alias("_whole"), absent.alias("_absent"), (F.size("_folded") > 0).alias("_has_chunks"), (F.size("_segments") > 0).alias("_has_segments"))
+    absent = let(F.flatten("_read"), lambda r: F.filter("_said", lambda n: ~F.exists(r, lambda h: same(n, h))))
+    seen = computed(read).select("*", holds.alias("_holds"), whole.alias("_whole"), absent.alias("_absent"), (F.size("_folded") > 0).alias("_has_chunks"), (F.size("_segments") > 0).alias("_has_segments"))
     cited = F.flatten(F.filter(F.zip_with("_read", "_holds", lambda r, h: F.when(h, r)), lambda r: r.isNotNull()))
-    outside = F.exists("_said", lambda n: ~F.exists("_absent", lambda a: a == n) & ~F.exists(cited, lambda h: same(n, h)))
+    outside = let(cited, lambda c: let(F.col("_absent"), lambda gone: F.exists("_said", lambda n: ~F.exists(gone, lambda a: a == n) & ~F.exists(c, lambda h: same(n, h)))))
     located = F.exists("_holds", lambda h: h)
-    flags = seen.select(*kept, "_holds", "_whole", (F.size("_absent") > 0).alias("_unread"), ((F.col("status") == "no_full_text") & F.col("_has_chunks")).alias("_g1"),
+    flags = computed(seen).select(*kept, "_holds", "_whole", (F.size("_absent") > 0).alias("_unread"), ((F.col("status") == "no_full_text") & F.col("_has_chunks")).alias("_g1"),
                         ((F.coalesce(term_coverage("claim", "chunks"), F.lit(1.0)) < COVERAGE) & ~located).alias("_g2"), _assertion_floor("assertions").alias("_g3"), (located & outside).alias("_g6"))
     start = F.when(F.col("_g1"), RANK[2]).otherwise(F.col("status"))
     live = start.isin(*RANK)
     rank = F.greatest(_rank(start), F.when(F.col("_g2"), 2).otherwise(0), F.coalesce(_rank(F.col("_g3")), F.lit(0)))
-    ranked = flags.select("*", start.alias("_start"), F.coalesce(live, F.lit(False)).alias("_live"), rank.alias("_r"))
+    ranked = computed(flags).select("*", start.alias("_start"), F.coalesce(live, F.lit(False)).alias("_live"), rank.alias("_r"))
     unquoted = F.col("_live") & (F.col("_r") == 0) & ~F.col("_whole")
     verified = F.col("_live") & (F.col("_r") == 0) & F.col("_whole")
     quotes = F.array("quote")
-    shifts = ranked.select("*", unquoted.alias("_g4"), (verified & (F.size(F.when(verified, scale_shifts("claim", quotes))) > 0)).alias("_g5a"), (verified & F.coalesce(F.when(verified, negation_shifted("claim", quotes)), F.lit(False))).alias("_g5b"))
+    shifts = computed(ranked).select("*", unquoted.alias("_g4"), (verified & (F.size(F.when(verified, scale_shifts("claim", quotes))) > 0)).alias("_g5a"), (verified & F.coalesce(F.when(verified, negation_shifted("claim", quotes)), F.lit(False))).alias("_g5b"))
     slugs = [("no_full_text_with_chunks", F.col("_g1")), ("attribution_mismatch", F.col("_live") & F.col("_g2")), ("assertion_status_inconsistent", F.col("_live") & F.col("_g3").isNotNull()), ("quote_not_verbatim", F.col("_g4")),
              ("scale_word_mismatch", F.col("_g5a")), ("negation_scope_shift", F.col("_g5b")), ("numeric_outside_cited_passage", F.col("_live") & F.col("_g6")), ("numeric_value_absent", F.col("_live") & F.col("_unread"))]
     softened = F.col("_g4") | F.col("_g5a") | F.col("_g5b") | F.col("_g6") | F.col("_unread")

@@ -3,7 +3,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import col, collapse_blanks, compat_fold, jaccard, sentences, tokens
+from ..functions.text import col, collapse_blanks, compat_fold, jaccard, let, sentences, tokens, word_set
 from .claims import quote_index
 
 #: Words that stand for numbers.
@@ -45,7 +45,7 @@ def folded_with_offsets(c) -> Column:
 def located_span(text, quote) -> Column:
     """The text's own characters from the first to the last of a quote found in it, or null."""
     t, q = folded_with_offsets(text), folded_with_offsets(quote)
-    at = F.locate_(q["folded"], t["folded"]) if hasattr(F, "locate_") else F.position(q["folded"], t["folded"])
+    at = F.position(q["folded"], t["folded"])
     first, last = F.get(t["offsets"], at - 1), F.get(t["offsets"], at + F.length(q["folded"]) - 2)
     return F.when((F.length(q["folded"]) > 0) & (at > 0), F.substr(col(text), first + 1, last - first + 1))
 
@@ -66,24 +66,26 @@ def token_spans(c) -> Column:
 def covered_places(sentence, spans, once: bool = False) -> Column:
     """Places (from 0) of the sentence's words inside any span's words in a row: at every occurrence, or
     at one for each span, the leftmost that is still free."""
-    words = F.transform(token_spans(sentence), lambda x: x["token"])
     needles = F.filter(F.transform(col(spans), lambda s: F.transform(token_spans(s), lambda x: x["token"])), lambda n: F.size(n) > 0)
-    starts = lambda n: F.filter(F.sequence(F.lit(0), F.greatest(F.size(words) - F.size(n), F.lit(0))), lambda i: (F.size(n) <= F.size(words)) & (F.slice(words, i + 1, F.size(n)) == n))
+    starts = lambda words, n: F.filter(F.sequence(F.lit(0), F.greatest(F.size(words) - F.size(n), F.lit(0))), lambda i: (F.size(n) <= F.size(words)) & (F.slice(words, i + 1, F.size(n)) == n))
     run = lambda i, n: F.sequence(i, i + F.size(n) - 1)
-    if not once:
-        return F.array_sort(F.array_distinct(F.flatten(F.flatten(F.transform(needles, lambda n: F.transform(starts(n), lambda i: run(i, n)))))))
 
-    def take(acc, n):
-        free = F.filter(starts(n), lambda i: ~F.arrays_overlap(acc, run(i, n)))
-        return F.when(F.size(free) > 0, F.concat(acc, run(free[0], n))).otherwise(acc)
+    def take(words, acc, n):
+        free = F.filter(starts(words, n), lambda i: ~F.arrays_overlap(acc, run(i, n)))
+        return let(free, lambda f: F.when(F.size(f) > 0, F.concat(acc, run(F.get(f, F.lit(0)), n))).otherwise(acc))
+
+    def places(words):
+        if once:
+            return F.aggregate(needles, F.array().cast("array<int>"), lambda acc, n: take(words, acc, n))
+        return F.array_distinct(F.flatten(F.flatten(F.transform(needles, lambda n: F.transform(starts(words, n), lambda i: run(i, n))))))
 
-    return F.array_sort(F.aggregate(needles, F.array().cast("array<int>"), take))
+    return F.array_sort(let(F.transform(token_spans(sentence), lambda x: x["token"]), places))
 
 
 def residue(sentence, spans) -> Column:
     """The sentence's words outside all spans, in order."""
-    words, at = F.transform(token_spans(sentence), lambda x: x["token"]), covered_places(sentence, spans)
-    return F.filter(F.transform(words, lambda w, i: F.when(~F.array_contains(at, i), w)), lambda w: w.isNotNull())
+    words = F.transform(token_spans(sentence), lambda x: x["token"])
+    return let(covered_places(sentence, spans), lambda at: F.filter(F.transform(words, lambda w, i: F.when(~F.array_contains(at, i), w)), lambda w: w.isNotNull()))
 
 
 def numeral_keys(c) -> Column:
@@ -104,16 +106,15 @@ def echo_words(c) -> Column:
             out = out.when(w.endswith(e) & (F.length(w) - len(e) >= 3), F.left(w, F.length(w) - len(e)))
         return out.otherwise(w)
 
-    words = F.filter(F.regexp_extract_all(F.lower(F.coalesce(col(c), F.lit(""))), F.lit("[0-9A-Za-zÀ-ɏ]+"), F.lit(0)), lambda w: ~w.isin(*ECHO_STOP))
+    words = F.filter(F.regexp_extract_all(F.lower(F.coalesce(col(c), F.lit(""))), F.lit("[0-9A-Za-zÀ-ɏ]+"), F.lit(0)), lambda w: ~F.array_contains(word_set(ECHO_STOP), w))
     return F.array_distinct(F.transform(words, stem))
 
 
 def best_passage(claim, text) -> Column:
     """struct<score, passage>: of all runs of one to three sentences the one most like the claim by token
     Jaccard; the shorter and then the earlier wins. Below LEAST_MATCH passage is null."""
-    s = sentences(text)
-    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(3)), lambda k: F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.size(s), F.lit(1))), lambda i: i + k - 1 <= F.size(s)), lambda i: F.struct((-k).alias("k"), (-i).alias("i"), F.array_join(F.slice(s, i, k), " ").alias("text")))))
-    best = F.array_max(F.transform(runs, lambda r: F.struct(jaccard(tokens(claim), tokens(r["text"])).alias("score"), r["k"].alias("k"), r["i"].alias("i"), r["text"].alias("text"))))
+    runs = let(sentences(text), lambda s: F.flatten(F.transform(F.sequence(F.lit(1), F.lit(3)), lambda k: F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.size(s), F.lit(1))), lambda i: i + k - 1 <= F.size(s)), lambda i: F.struct((-k).alias("k"), (-i).alias("i"), F.array_join(F.slice(s, i, k), " ").alias("text"))))))
+    best = F.array_max(let(tokens(claim), lambda said: F.transform(runs, lambda r: F.struct(jaccard(said, tokens(r["text"])).alias("score"), r["k"].alias("k"), r["i"].alias("i"), r["text"].alias("text")))))
     cut = F.when(F.length(best["text"]) <= MOST_PASSAGE, best["text"]).otherwise(F.concat(F.rtrim(F.regexp_replace(F.left(best["text"], F.lit(MOST_PASSAGE)), r" [^ ]*$", "")), F.lit(" ...")))
     return F.struct(F.coalesce(best["score"], F.lit(0.0)).alias("score"), F.when(best["score"] >= LEAST_MATCH, cut).alias("passage"))
 
@@ -185,7 +186,7 @@ def byline_accepted(parsed, authors) -> Column:
     mine = F.transform(col(parsed), lambda x: F.lower(x))
     last = lambda a: F.lower(F.element_at(F.split(F.trim(F.substring_index(F.trim(a), ",", 1)), r"\s+"), -1))
     theirs = F.array_distinct(F.transform(F.filter(col(authors), lambda a: F.length(F.trim(a)) > 0), last))
-    places = F.filter(F.transform(mine, lambda x, i: F.when(F.array_contains(theirs, x), i)), lambda i: i.isNotNull())
+    places = let(theirs, lambda names: F.filter(F.transform(mine, lambda x, i: F.when(F.array_contains(names, x), i)), lambda i: i.isNotNull()))
     run = F.sequence(F.lit(0), F.greatest(F.size(theirs) - 1, F.lit(0)))
     return (F.size(mine) > 0) & (F.size(theirs) > 0) & (places == run) & (F.size(F.array_except(theirs, mine)) == 0)
 

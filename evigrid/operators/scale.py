@@ -6,7 +6,7 @@ it. A claim's and a quote's occurrences are paired once each, those with most st
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.text import col, light_stem
+from ..functions.text import col, let, light_stem, word_set
 
 #: Words of the three scales by rank, and the band of each rank.
 EXTENT = {0: "no none never neither nobody nothing zero", 1: "rarely seldom hardly scarcely barely infrequently few minority handful", 2: "occasionally sometimes some several",
@@ -26,10 +26,15 @@ SCALES = {"extent": EXTENT, "degree": DEGREE, "hedge": HEDGE}
 _WORDS = [w for ranks in SCALES.values() for ws in ranks.values() for w in ws.split()]
 
 
-def _lexicon() -> Column:
-    """Map of a scale word to (scale, band)."""
-    entries = [x for scale, ranks in SCALES.items() for rank, ws in ranks.items() for w in ws.split() for x in (F.lit(w), F.struct(F.lit(scale).alias("scale"), F.lit(BANDS[scale][rank]).alias("band")))]
-    return F.create_map(*entries)
+def _entry(word: Column) -> Column:
+    """struct<scale, band> of a scale word; null for another word."""
+    pairs = ",".join(f"{w}={scale}/{BANDS[scale][rank]}" for scale, ranks in SCALES.items() for rank, ws in ranks.items() for w in ws.split())
+    found = F.str_to_map(F.lit(pairs), F.lit(","), F.lit("="))[word]
+    return F.when(found.isNotNull(), F.struct(F.substring_index(found, "/", 1).alias("scale"), F.substring_index(found, "/", -1).cast("int").alias("band")))
+
+
+def _among(c: Column, words) -> Column:
+    return F.array_contains(word_set(words), c)
 
 
 def scale_tokens(c) -> Column:
@@ -49,12 +54,11 @@ def _near(marks: Column, i: Column, reach: tuple) -> Column:
 
 def occurrences(c) -> Column:
     """array<struct<i, word, scale, band, head, context>> of the scale words of a text."""
-    tokens = scale_tokens(c)
-    content = lambda t: ~t.isin(*FUNCTION_WORDS) & ~t.isin(*_WORDS) & ~light_stem(t).isin(*FUNCTION_WORDS) & ~t.rlike(r"\d")
-    marks = F.transform(tokens, lambda t: F.when(content(t), light_stem(t)))
-    lexicon = _lexicon()
-    at = F.transform(tokens, lambda t, i: F.when(t.isin(*_WORDS), F.struct(i.alias("i"), t.alias("word"), lexicon[t].alias("e"))))
-    return F.transform(F.filter(at, lambda x: x.isNotNull()), lambda x: F.struct(x["i"].alias("i"), x["word"].alias("word"), x["e"]["scale"].alias("scale"), x["e"]["band"].alias("band"), _near(marks, x["i"], HEAD).alias("head"), _near(marks, x["i"], CONTEXT).alias("context")))
+    content = lambda t: ~_among(t, FUNCTION_WORDS + _WORDS) & ~_among(light_stem(t), FUNCTION_WORDS) & ~t.rlike(r"\d")
+    marked = lambda tokens: F.transform(tokens, lambda t: F.when(content(t), light_stem(t)))
+    at = lambda tokens: F.filter(F.transform(tokens, lambda t, i: F.when(_among(t, _WORDS), F.struct(i.alias("i"), t.alias("word"), _entry(t).alias("e")))), lambda x: x.isNotNull())
+    anchored = lambda marks, x: F.struct(x["i"].alias("i"), x["word"].alias("word"), x["e"]["scale"].alias("scale"), x["e"]["band"].alias("band"), _near(marks, x["i"], HEAD).alias("head"), _near(marks, x["i"], CONTEXT).alias("context"))
+    return let(scale_tokens(c), lambda tokens: let(at(tokens), lambda found: F.when(F.size(found) == 0, F.transform(found, lambda x: anchored(F.array().cast("array<string>"), x))).otherwise(let(marked(tokens), lambda marks: F.transform(found, lambda x: anchored(marks, x))))))
 
 
 def scale_shifts(claim, quotes) -> Column:
@@ -66,25 +70,24 @@ def scale_shifts(claim, quotes) -> Column:
     pair = lambda x, y, i, j: F.struct((-shared(x, y, "head")).alias("h"), (-shared(x, y, "context")).alias("c"), F.abs(x["band"] - y["band"]).alias("gap"), i.alias("i"), j.alias("j"), x["scale"].alias("scale"),
                                        x["word"].alias("claim_word"), x["band"].alias("claim_band"), y["word"].alias("quote_word"), y["band"].alias("quote_band"))
     fits = lambda x, y: (x["scale"] == y["scale"]) & (shared(x, y, "head") >= LEAST_HEAD) & (shared(x, y, "context") >= LEAST_CONTEXT)
-    pairs = F.flatten(F.transform(ours, lambda x, i: F.filter(F.transform(theirs, lambda y, j: F.when(fits(x, y), pair(x, y, i, j))), lambda p: p.isNotNull())))
+    pairs = let(theirs, lambda t: F.flatten(F.transform(ours, lambda x, i: F.filter(F.transform(t, lambda y, j: F.when(fits(x, y), pair(x, y, i, j))), lambda p: p.isNotNull()))))
     free = lambda acc, p: ~F.exists(acc, lambda a: (a["i"] == p["i"]) | (a["j"] == p["j"]))
-    none = F.filter(pairs, lambda p: F.lit(False))
-    chosen = F.aggregate(F.array_sort(pairs), none, lambda acc, p: F.when(free(acc, p), F.concat(acc, F.array(p))).otherwise(acc))
-    shifted = F.array_sort(F.transform(F.filter(chosen, lambda p: p["claim_band"] != p["quote_band"]), lambda p: F.struct(p["i"].alias("i"), p["scale"].alias("scale"), p["claim_word"].alias("claim_word"), p["claim_band"].alias("claim_band"), p["quote_word"].alias("quote_word"), p["quote_band"].alias("quote_band"))))
+    greedy = lambda ps: F.aggregate(F.array_sort(ps), F.filter(ps, lambda p: F.lit(False)), lambda acc, p: F.when(free(acc, p), F.concat(acc, F.array(p))).otherwise(acc))
+    shifted = F.array_sort(F.transform(F.filter(let(pairs, greedy), lambda p: p["claim_band"] != p["quote_band"]), lambda p: F.struct(p["i"].alias("i"), *[p[k].alias(k) for k in ("scale", "claim_word", "claim_band", "quote_word", "quote_band")])))
     return F.transform(shifted, lambda p: F.struct(*[p[k].alias(k) for k in ("scale", "claim_word", "claim_band", "quote_word", "quote_band")]))
 
 
 def _epistemic(tokens: Column, negated, after: bool) -> Column:
     """For each epistemic verb with a negator within three tokens behind (or before) it: the stems of the seven tokens after it."""
     window = lambda i: F.slice(tokens, i + 2, F.lit(3)) if after else F.slice(tokens, F.greatest(i - 2, F.lit(1)), F.least(i, F.lit(3)))
-    hit = lambda t, i: light_stem(t).rlike(EPISTEMIC) & F.exists(window(i), lambda x: x.isin(*negated))
-    found = F.transform(tokens, lambda t, i: F.when(hit(t, i), F.transform(F.slice(tokens, i + 2, F.lit(7)), lambda x: F.struct(x.alias("t"), light_stem(x).alias("s")))))
+    hit = lambda t, i: light_stem(t).rlike(EPISTEMIC) & F.exists(window(i), lambda x: _among(x, negated))
+    found = F.transform(tokens, lambda t, i: F.when(light_stem(t).rlike(EPISTEMIC) & hit(t, i), F.transform(F.slice(tokens, i + 2, F.lit(7)), lambda x: F.struct(x.alias("t"), light_stem(x).alias("s")))))
     return F.filter(found, lambda x: x.isNotNull())
 
 
 def negation_shifted(claim, quotes) -> Column:
     """Whether the claim reports a finding of absence ("established no role") where a quote reports the
     absence of a finding ("has not established a role") on the same object."""
-    said = F.transform(_epistemic(scale_tokens(claim), ABSOLUTE_NEGATORS, True), lambda o: F.transform(F.filter(o, lambda x: ~x["s"].isin(*FUNCTION_WORDS) & ~x["t"].isin(*ABSOLUTE_NEGATORS)), lambda x: x["s"]))
-    read = F.flatten(F.transform(F.filter(col(quotes), lambda q: q.isNotNull()), lambda q: F.transform(_epistemic(scale_tokens(q), NEGATORS, False), lambda o: F.transform(o, lambda x: x["s"]))))
-    return F.exists(said, lambda a: F.exists(read, lambda b: F.arrays_overlap(a, b)))
+    said = F.transform(let(scale_tokens(claim), lambda t: _epistemic(t, ABSOLUTE_NEGATORS, True)), lambda o: F.transform(F.filter(o, lambda x: ~_among(x["s"], FUNCTION_WORDS) & ~_among(x["t"], ABSOLUTE_NEGATORS)), lambda x: x["s"]))
+    read = F.flatten(F.transform(F.filter(col(quotes), lambda q: q.isNotNull()), lambda q: F.transform(let(scale_tokens(q), lambda t: _epistemic(t, NEGATORS, False)), lambda o: F.transform(o, lambda x: x["s"]))))
+    return let(read, lambda r: F.exists(said, lambda a: F.exists(r, lambda b: F.arrays_overlap(a, b))))
