@@ -1,9 +1,9 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
-Of the test items only some terms are looked up: in every window the rarest one, by the corpus's
-own counts. The postings (document, position) of those terms, less the term's offset in its item,
-name the alignments of item and document that can hold a match; each is then checked word by word.
-All of it is DataFrame code.
+The index holds, for each term that the tests name among their rarest, its places in the documents. A
+window of an item has one list for its rarest term and one for its next rarest; taken less the terms'
+places in the item, the lists of one window meet in the alignments of item and document that can hold
+a match. Only those are checked word by word, from the text. All of it is DataFrame code.
 """
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from .common import ALNUM_SQL, ascii_lower, stored
 
 WINDOW = 10
-#: Tables of test terms up to so many rows are broadcast; larger ones are joined by shuffle.
-BROADCAST_ROWS = 500_000
+#: Tables of tests up to so many bytes of terms and texts are broadcast; larger ones are joined by shuffle.
+BROADCAST_BYTES = 64 << 20
 BUCKETS = 1 << 16
 
 
@@ -22,8 +22,12 @@ def words_of(col):
 
 
 def _small(df: DataFrame) -> DataFrame:
-    """df with a broadcast hint if it is counted to be small."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    """df, which is stored, with a broadcast hint if its measured size is small."""
+    width = sum((F.coalesce(F.length(F.col(c).cast("string")), F.lit(0)) + 16 for c, t in df.dtypes if not t.startswith("array")), F.lit(16))
+    for c, t in df.dtypes:
+        if t == "array<string>":
+            width = width + F.coalesce(F.aggregate(c, F.lit(0), lambda n, w: n + F.length(w) + 16), F.lit(0))
+    return F.broadcast(df) if (df.agg(F.sum(width)).collect()[0][0] or 0) <= BROADCAST_BYTES else df
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -54,10 +58,22 @@ def ranked_items(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def anchors(ranked: DataFrame, window: int = WINDOW) -> DataFrame:
-    """term, item, off: the rarest place of every window whose terms all stand in the corpus."""
+    """term, item, off: the two rarest places of every window whose terms all stand in the corpus, one if
+    it has one word, and with each the places that it has to meet: `with_offs`, itself for a lone word."""
     w = F.least(F.size("ranked"), F.lit(window))
-    least = F.transform(F.sequence(F.lit(1), F.size("ranked") - w + 1), lambda s: F.array_min(F.slice("ranked", s, w)))
-    return ranked.select("item", F.explode(F.array_distinct(F.filter(least, lambda r: r["n"] > 0))).alias("r")).select("r.term", "item", F.col("r.pos").alias("off"))
+    two = F.transform(F.sequence(F.lit(1), F.size("ranked") - w + 1), lambda s: F.slice(F.array_sort(F.slice("ranked", s, w)), 1, 2))
+    pairs = ranked.select("item", F.explode(F.array_distinct(F.filter(two, lambda rs: rs[0]["n"] > 0))).alias("rs"))
+    both = pairs.select("item", F.explode(F.array_distinct(F.array(F.struct(F.element_at("rs", 1).alias("r"), F.element_at("rs", -1)["pos"].alias("other")), F.struct(F.element_at("rs", -1).alias("r"), F.element_at("rs", 1)["pos"].alias("other"))))).alias("x"))
+    return both.groupBy(F.col("x.r.term").alias("term"), "item", F.col("x.r.pos").alias("off")).agg(F.collect_set("x.other").alias("with_offs"))
+
+
+def alignments(docs: DataFrame, named: DataFrame) -> DataFrame:
+    """doc_id, th, item, shift: where the lists of a window's two rarest terms meet. The index is stored."""
+    index = postings(docs, stored(named.select("term").distinct(), "index-terms")).groupBy("doc_id", "th", "term").agg(F.collect_list("pos").alias("places"))
+    index = stored(index, "postings")
+    places = index.join(_small(named), "term").select("doc_id", "th", "item", "off", "with_offs", F.explode("places").alias("pos"))
+    shifted = places.groupBy("doc_id", "th", "item", (F.col("pos") - F.col("off")).alias("shift")).agg(F.collect_set("off").alias("offs"), F.flatten(F.collect_set("with_offs")).alias("needed"))
+    return shifted.where(F.arrays_overlap("offs", "needed")).select("doc_id", "th", "item", "shift")
 
 
 def _runs(words, aligned):
@@ -83,8 +99,7 @@ def _covered(spans):
 def phrase_hits(docs: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, th (hash of the text), spans and items (ids) of the documents that hold a window of an item."""
     ranked = stored(ranked_items(docs, items), "ranked")
-    found = postings(docs, stored(anchors(ranked), "anchors")).select("doc_id", "th", "item", (F.col("pos") - F.col("off")).alias("shift"))
-    laid = found.distinct().join(_small(ranked.select("item", "item_id", "words")), "item")
+    laid = alignments(docs, stored(anchors(ranked), "anchors")).join(_small(ranked.select("item", "item_id", "words")), "item")
     cand = stored(laid.groupBy("doc_id", "th").agg(F.collect_list(F.struct("shift", "item_id", "words")).alias("laid")), "alignments")
     spot = F.pmod(F.xxhash64("doc_id", "th"), F.lit(BUCKETS)).alias("spot")
     near = F.broadcast(cand.select(spot).distinct())  # at most BUCKETS rows; it only thins the scan
