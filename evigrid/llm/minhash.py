@@ -161,7 +161,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, part: int = 80, whole: int =
 
     Links hold where whole * intersection >= part * union of the sets of `size`-word shingles.
     Null texts and texts without words have an empty set and no links; a shorter text is one
-    shingle. Rows that repeat a doc_id are each returned and share its component; rows with a null
+    shingle. Rows that repeat a doc_id are each returned and share its component, whatever their texts
+    (but for those without words, which stand alone); rows with a null
     doc_id are returned with a null component and are not linked. Other columns are not looked at.
     """
     spark = docs.sparkSession
@@ -182,7 +183,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, part: int = 80, whole: int =
     texts = thin.join(cand.hint("merge"), "doc_id").mapInArrow(_sets(size, threshold), "doc_id bigint, grp bigint, found binary, sig binary")
     tiles = by_tile(tile_rows(texts, ["grp"], sizes, F.col("doc_id")).select("tile", "grp", "i", "j", "own", "doc_id", "found", "sig"), ["tile", "grp", "i", "j"])
     links = stored(tiles.mapInArrow(_tile_edges(part, whole), "a bigint, b bigint"), "links")
-    comps = connected_components(links)
+    # classes that have a doc_id in common are one
+    twice = full.groupBy("doc_id").agg((F.min("key") != F.max("key")).alias("twice")).where("twice").select("doc_id")
+    ties = full.join(twice, "doc_id").join(classes, "key").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    comps = connected_components(links.unionAll(ties))
     roots = classes.join(comps, classes["rep"] == comps["node"], "left").select("key", F.coalesce("component", "rep").alias("root"))
     out = feats.where("key is not null").join(roots, "key", "left")
     empty = feats.where("key is null").withColumn("root", F.lit(None).cast("bigint"))

@@ -208,6 +208,16 @@ def test_decontamination(spark, data, docs, texts):
     assert got == want and any(x[4] for x in want.values())
 
 
+def test_decontamination_of_repeated_and_shared_words(spark):
+    """Windows whose rarest words repeat within an item, stand at several places, or are one word."""
+    rng = random.Random(12)
+    texts = {i: " ".join(rng.choice("a b c d e f".split()) for _ in range(rng.randrange(0, 60))) for i in range(150)}
+    items = [(i, " ".join(rng.choice("a b c d e f".split()) for _ in range(n))) for i, n in enumerate([1, 2, 3, 4, 5, 12, 14, 30])] + [(20 + i, texts[i * 7][:40]) for i in range(10)]
+    want = brute_hits(texts.items(), items)
+    d, q = spark.createDataFrame(list(texts.items()), "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {r["doc_id"]: tuple(r)[1:] for r in decontamination.decontaminate(d, q).collect()} == want
+
+
 def test_decontamination_odd(spark, odd, none):
     items = spark.createDataFrame([(1, "w1 w2 w3 w4 w5 w6 w7 w8 w9 w10 w11"), (2, "both of these"), (3, None), (4, ""), (2, "both of these"), (None, "one")], "item_id long, text string")
     got = {r["doc_id"]: r for r in decontamination.decontaminate(odd, items).collect()}
@@ -536,5 +546,27 @@ def test_pipeline(spark, data, docs, texts):
     assert {r["doc_id"] for r in out} == set(kept) and all(len(r["ids"]) == r["n_pieces"] for r in out)
 
 
+def test_minhash_ties_classes_of_one_id(spark):
+    text = " ".join(f"t{i}" for i in range(30))
+    rows = [(5, text), (3, text), (5, "another text of quite other words altogether"), (6, "another text of quite other words altogether"), (9, "z y x w v")]
+    got = sorted((r["doc_id"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(3, 3, True), (5, 3, False), (5, 3, False), (6, 3, False), (9, 9, True)]
+
+
+def test_pipeline_stages_on_odd_rows(spark, data, odd, none):
+    import corpus_pipeline as p
+
+    wide = odd.selectExpr("doc_id", "text", "lang", "'s' as source", "cast(1 as bigint) as n_chars", "'clash' as k", "1 as score", "2 as kept")
+    toxic = p.drop_toxic(spark, wide, data)
+    assert toxic.columns == p.COLUMNS and toxic.count() == 11
+    near = p.drop_near_duplicates(spark, wide, data)
+    assert near.columns == p.COLUMNS and sorted(r["doc_id"] or -1 for r in near.collect()) == [-1, 1, 2, 3, 4, 6, 7, 8, 9]
+    twice = wide.unionByName(wide)
+    assert sorted(r["doc_id"] or -1 for r in p.drop_near_duplicates(spark, twice, data).collect()) == [-1, -1, 1, 2, 3, 4, 6, 7, 8, 9]
+    assert p.drop_contaminated(spark, wide, data).count() == 11 and p.encode(spark, wide, data).count() == 11
+    for _, stage in p.STAGES:
+        assert stage(spark, none, data).count() == 0
+
+
 def test_all_are_registered():
     assert sorted({n.split("_")[0] for n in queries.QUERIES}) == sorted(f"op{i}" for i in range(1, 11))
