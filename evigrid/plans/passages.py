@@ -125,7 +125,7 @@ def bylines(spark, d):
     body = F.when(n % 4 == 3, "Ali Razmi1, Sara Ghane2\n1 Yazd University, City Of Dust\nAbstract. More Words here").otherwise(F.concat(F.lit("Sara Ghane2 and Lee "), last, F.when(n % 2 == 0, "1\n 2 Some Place, Two Words").otherwise(" Abstract Two Words")))
     authors = F.when(n % 4 == 2, F.array(F.lit("Sara Ghane"))).otherwise(F.array(F.concat(last, F.lit(", Lee")), F.lit("Sara Ghane")))
     p = table(spark, d, "part").select("p_partkey", passages.byline_surnames(body).alias("names"), authors.alias("authors"))
-    return p.select("p_partkey", F.array_join("names", ",").alias("names"), passages.byline_accepted("names", "authors").alias("accepted"))
+    return p.withColumn("accepted", passages.byline_accepted("names", "authors")).select("p_partkey", F.array_join("names", ",").alias("names"), "accepted")
 
 
 @query("""select page_id, case page_id % 3 when 0 then url || ' ' || url || '2' when 1 then url else url end as links, page_id % 2 = 0 as guidelines from pages""")
