@@ -179,3 +179,45 @@ def markdown_table(df: DataFrame, most: int = 1000) -> str:
     rows = df.limit(most).collect()
     cell = lambda v: "-" if v is None else str(v)
     return "\n".join(["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns), *("| " + " | ".join(map(cell, r)) + " |" for r in rows)])
+
+
+def load_dataset(spark: SparkSession, folder: str, kind: str = "csv") -> DataFrame:
+    """The cleaned table of a dataset's folder if it is there, else the raw one."""
+    fs = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/cleaned.parquet")
+    clean = fs.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs)
+    return spark.read.parquet(f"{folder}/cleaned.parquet") if clean else read_table(spark, f"{folder}/raw.{kind}", kind)
+
+
+def works_by_ids(works: DataFrame, ids: DataFrame) -> DataFrame:
+    """at, and the work, for each id of ids(at, id) that names one: a repeated id at its first place."""
+    first = ids.groupBy("id").agg(F.min("at").alias("at"))
+    return first.join(works, first["id"] == works["external_id"]).drop("id")
+
+
+def registry_records(raw: DataFrame, column: str = "json") -> DataFrame:
+    """Registry records as JSON to doi, title, year and citation_count; the first title and the first date part count."""
+    r = raw.select(F.from_json(column, "DOI string, title array<string>, issued struct<`date-parts`:array<array<int>>>, `is-referenced-by-count` int").alias("r"))
+    dates = F.col("r.issued.date-parts")
+    return r.select(text.doi_key("r.DOI").alias("doi"), F.try_element_at("r.title", F.lit(1)).alias("title"), F.try_element_at(F.try_element_at(dates, F.lit(1)), F.lit(1)).alias("year"), F.coalesce("r.is-referenced-by-count", F.lit(0)).alias("citation_count"))
+
+
+def review_rows(raw: DataFrame) -> DataFrame:
+    """Labelled review sets of text cells: record_id, label (0, 1 or null), title and abstract (blank is null), year."""
+    from ..functions.scalars import to_label, to_year
+
+    return raw.select("record_id", to_label("label").alias("label"), blank_to_null("title").alias("title"), blank_to_null("abstract").alias("abstract"), to_year("year").alias("year"))
+
+
+def claim_pairs(claims: DataFrame, corpus: DataFrame) -> DataFrame:
+    """claim_id, doc_id, gold, n_sentences for each cited document of claims(id, cited, evidence): the
+    evidence is a map of a document to its labels; documents that the corpus lacks are left out."""
+    from ..operators.evaluation import gold_label
+
+    c = claims.select(F.col("id").alias("claim_id"), "evidence", F.explode(F.array_distinct("cited")).alias("doc_id"))
+    labels = F.coalesce(F.try_element_at("evidence", F.col("doc_id").cast("string")), F.array().cast("array<string>"))
+    return c.join(corpus.select("doc_id", F.size("abstract").alias("n_sentences")), "doc_id").select("claim_id", "doc_id", gold_label(labels).alias("gold"), "n_sentences")
+
+
+def claim_chunks(claims: DataFrame, cached: DataFrame) -> DataFrame:
+    """Claims with the cached chunk they were built from, by DOI and chunk number; without it text is null."""
+    return claims.join(cached.select("chunk_doi", "chunk_index", "text"), ["chunk_doi", "chunk_index"], "left")

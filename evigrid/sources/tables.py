@@ -34,3 +34,16 @@ def settled(df: DataFrame) -> DataFrame:
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="spark-shared-"))
     return df.checkpoint()
+
+
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A new folder that driver and executors share, below the one that the session names."""
+    import tempfile
+    import uuid
+
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        named = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+    return f"{named.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
