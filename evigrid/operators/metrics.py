@@ -52,8 +52,7 @@ def wss_of_ranking(df: DataFrame, score: str, label: str, pos: str, level: float
 
 def top_k(df: DataFrame, score: str, pos: str, k: int) -> DataFrame:
     """Adds predicted: 1 for exactly the k highest scores, ties by pos."""
-    best = df.orderBy(F.desc(score), F.asc(pos)).limit(k).select(F.col(pos).alias("_p"), F.lit(1).alias("_y"))
-    return df.join(best, F.col(pos) == F.col("_p"), "left").withColumn("predicted", F.coalesce("_y", F.lit(0))).drop("_p", "_y")
+    return ranked(df, score, pos).withColumn("predicted", (F.col("rank") <= k).cast("int")).drop("rank")
 
 
 def kappa(df: DataFrame, a: str, b: str, by: list[str] | None = None) -> DataFrame:

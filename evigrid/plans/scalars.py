@@ -166,7 +166,7 @@ def reference_entries_resolved(spark, d):
 
 
 @query(f"""with {PAPERS_SQL}, r as (select id, case when id % 4 = 0 then 'quite another thing' else title || ' again' end as t, case when id % 9 = 0 then year + 1 else year end as y from papers where id % 5 <> 0)
-select p.id, case when r.id is not null then case when p.id % 4 = 0 then 0.0 else 1.0 end end as title_overlap, r.id is not null and (p.id % 4 = 0 or p.id % 9 = 0) as warning from papers p left join r on p.id = r.id""")
+select p.id, cast(case when r.id is not null then case when p.id % 4 = 0 then 0.0 else 1.0 end end as double) as title_overlap, r.id is not null and (p.id % 4 = 0 or p.id % 9 = 0) as warning from papers p left join r on p.id = r.id""")
 def registry_warnings(spark, d):
     p = papers(spark, d).select(F.col("id"), F.col("id").alias("doi"), "title", "year")
     n = F.col("id")

@@ -2,17 +2,24 @@
 from pyspark.sql import functions as F
 
 from ..registry import query
-from ..sources.tables import table
+from ..sources.tables import scratch, table
 from ..streaming import jobs
 
 
-def _drain(spark, stream, name: str, mode: str):
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+def drained(spark, stream, name: str, mode: str):
+    """All that a stream gives until its input is used up, written batch by batch to the shared folder.
+    In complete mode the last batch is the result; else the batches together are."""
+    path = scratch(spark, name)
 
+    def keep(rows, batch):
+        rows.write.mode("overwrite").parquet(f"{path}/out" if mode == "complete" else f"{path}/out/batch={batch}")
 
-def _events(spark, d):
+    stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    out = spark.read.parquet(f"{path}/out")
+    return out if mode == "complete" else out.drop("batch")
+
+
+def event_source(spark, d):
     """Files named events.parquet of the folder, as a stream."""
     schema = table(spark, d, "events").schema
     return jobs.event_stream(spark, f"{d}/event[s].parquet", schema)
@@ -21,8 +28,8 @@ def _events(spark, d):
 @query("""select date_trunc('day', ts) as day, event_type, count(*) as n from events group by 1, 2""")
 def daily_events_streamed(spark, d):
     """Windowed counts of a stream; all windows are taken at the end."""
-    s = jobs.month_counts(_events(spark, d))
-    t = _drain(spark, s, "daily_events_streamed", "complete")
+    s = jobs.month_counts(event_source(spark, d))
+    t = drained(spark, s, "daily_events_streamed", "complete")
     return t.select(F.col("w.start").cast("timestamp_ntz").alias("day"), "event_type", "n")
 
 
@@ -34,5 +41,5 @@ def job_final_states(spark, d):
 
 @query("""select distinct user_id from events""")
 def first_seen_streamed(spark, d):
-    s = jobs.first_seen(_events(spark, d), "user_id", "3650 days")
-    return _drain(spark, s.select("user_id"), "first_seen_streamed", "append")
+    s = jobs.first_seen(event_source(spark, d), "user_id", "3650 days")
+    return drained(spark, s.select("user_id"), "first_seen_streamed", "append")
