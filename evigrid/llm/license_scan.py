@@ -19,13 +19,42 @@ NOTICES = {
     "gnu affero general public license": "agpl",
     "mozilla public license": "mpl",
     "creative commons attribution": "cc-by",
+    "creative commons attribution noncommercial": "cc-by-nc",
+    "creative commons attribution sharealike": "cc-by-sa",
+    "creative commons zero": "cc0",
+    "licensed under the apache license": "apache-2",
+    "released under the mit license": "mit",
+    "permission to use copy modify and or distribute this software for any purpose": "isc",
+    "boost software license": "boost",
+    "eclipse public license": "epl",
+    "common development and distribution license": "cddl",
+    "gnu free documentation license": "gfdl",
+    "sil open font license": "ofl",
+    "this is free and unencumbered software released into the public domain": "unlicense",
+    "dedicated to the public domain": "public-domain",
     "all rights reserved": "proprietary",
 }
 #: Words that open an identifier tag.
 TAGS = ("spdx license identifier", "license identifier", "spdx licence identifier", "licence identifier")
-#: Identifiers known to the expression reader (lower case) and their labels.
-KNOWN = {"mit": "mit", "apache-2.0": "apache-2", "bsd-2-clause": "bsd", "bsd-3-clause": "bsd", "gpl-2.0": "gpl", "gpl-2.0-only": "gpl", "gpl-2.0-or-later": "gpl", "gpl-3.0": "gpl", "gpl-3.0-only": "gpl", "gpl-3.0-or-later": "gpl", "lgpl-2.1": "lgpl", "lgpl-3.0": "lgpl", "agpl-3.0": "agpl", "mpl-2.0": "mpl", "cc-by-4.0": "cc-by", "cc-by-nc-4.0": "cc-by-nc", "isc": "isc", "unlicense": "unlicense"}
-PERMISSIVE = {"mit", "apache-2", "bsd", "isc", "cc-by", "unlicense"}
+#: Every phrase and tag holds one of these, so a text without any of them needs no automaton.
+KEYS = (b"licen", b" cc by nc ", b" reserved ", b" granted ", b"redistribution", b" commons ", b" public domain ", b" permission to use ")
+#: Families of identifiers known to the expression reader, as patterns of the lower-case identifier, and their labels.
+FAMILIES = (
+    (r"mit(-0|-advertising|-cmu|-feh|-modern-variant)?|x11|expat", "mit"), (r"apache-[12]\.[01]", "apache-2"), (r"(0bsd|bsd-[0-9]-clause(-[a-z-]+)?)", "bsd"),
+    (r"gpl-[123]\.0(-only|-or-later|\+)?", "gpl"), (r"lgpl-(2\.0|2\.1|3\.0)(-only|-or-later|\+)?", "lgpl"), (r"agpl-[13]\.0(-only|-or-later|\+)?", "agpl"), (r"mpl-(1\.0|1\.1|2\.0)(-no-copyleft-exception)?", "mpl"),
+    (r"cc0-1\.0", "cc0"), (r"cc-by-nc(-sa|-nd)?-[1-4]\.[05]", "cc-by-nc"), (r"cc-by-sa-[1-4]\.[05]", "cc-by-sa"), (r"cc-by-nd-[1-4]\.[05]", "cc-by-nd"), (r"cc-by-[1-4]\.[05]", "cc-by"),
+    (r"isc", "isc"), (r"unlicense", "unlicense"), (r"zlib(-acknowledgement)?", "zlib"), (r"bsl-1\.0", "boost"), (r"epl-[12]\.0", "epl"), (r"eupl-1\.[012]", "eupl"), (r"cddl-1\.[01]", "cddl"), (r"artistic-(1\.0(-perl|-cl8)?|2\.0)", "artistic"),
+    (r"python-2\.0(\.1)?|psf-2\.0", "python"), (r"ofl-1\.[01](-rfn|-no-rfn)?", "ofl"), (r"wtfpl", "wtfpl"), (r"postgresql", "postgresql"), (r"ncsa", "ncsa"), (r"ms-(pl|rl)", "ms"), (r"odbl-1\.0", "odbl"), (r"pddl-1\.0", "pddl"), (r"gfdl-1\.[123](-only|-or-later)?", "gfdl"),
+)
+_FAMILIES = tuple((re.compile(p), label) for p, label in FAMILIES)
+
+
+def label_of(identifier: str) -> str | None:
+    """The family of a lower-case identifier."""
+    return next((label for p, label in _FAMILIES if p.fullmatch(identifier)), None)
+
+
+PERMISSIVE = {"mit", "apache-2", "bsd", "isc", "cc-by", "cc0", "unlicense", "zlib", "boost", "python", "postgresql", "ncsa", "wtfpl", "pddl"}
 SCHEMA = "doc_id bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double, expressions array<string>, open_use boolean"
 _WORD = re.compile(ALNUM)
 _TAG = re.compile(rb"licen[sc]e-identifier:[ \t]*([^\n\r*/<>\"]+)", re.I)
@@ -75,7 +104,7 @@ def evaluate(expression: str) -> tuple[set, bool | None]:
             (rl, ro), (ll, lo) = stack.pop(), stack.pop()
             stack.append((ll if piece == "with" else ll | rl, lo if piece == "with" else lo or ro if piece == "or" else lo and ro))
         elif piece not in _RANK:
-            label = KNOWN.get(piece)
+            label = label_of(piece)
             stack.append(({label} if label else set(), label in PERMISSIVE))
     return stack[-1] if stack else (set(), None)
 
@@ -83,6 +112,7 @@ def evaluate(expression: str) -> tuple[set, bool | None]:
 def automaton():
     import ahocorasick
 
+    assert all(any(k in f" {p} ".encode() for k in KEYS) for p in (*BASE, *NOTICES, *TAGS))
     a = ahocorasick.Automaton()
     for phrase, label in BASE.items():
         a.add_word(f" {phrase} ", (phrase, label, True))
@@ -100,7 +130,7 @@ def scan_text(a, raw: bytes) -> tuple:
     base, places, labels, expressions, open_use, tags = set(), [], set(), [], None, 0
     if words:
         line = b" " + b" ".join(words) + b" "
-        for end, (phrase, label, is_base) in a.iter(line.decode()) if b"licen" in line or b" cc by nc " in line or b" reserved" in line or b" granted" in line or b"redistribution" in line or b" commons" in line else ():
+        for end, (phrase, label, is_base) in a.iter(line.decode()) if any(k in line for k in KEYS) else ():
             if is_base:
                 places.append((end, phrase))
                 base.add(label)
