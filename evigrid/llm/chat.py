@@ -48,18 +48,24 @@ def read_turn(segment: str) -> tuple[str, str]:
 
 
 def message_events(rows: DataFrame) -> DataFrame:
-    """Events of a table of whole messages (conv_id, turn, role, text), each in two deltas.
+    """A log of a table of whole messages (conv_id, turn, role, text), as a chat service would leave it.
+
+    An assistant's message is a first answer that breaks off, and its regeneration in two deltas; any
+    other message is a draft that an edit replaces by the text's first half, and a delta with the rest.
+    A message's events come with the last one first, so only their sequence numbers give the order.
 
     Null roles and texts count as empty. Rows of one turn keep apart; they stand in the order of
-    role and text. A null turn comes first.
+    role and text, repeated rows next to each other. A null turn comes first.
     """
     clean = rows.select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     half = (F.length("text") / 2).cast("int")
-    event = lambda n, kind, text: F.struct(F.lit(n).cast("bigint").alias("seq"), F.lit(kind).alias("kind"), text.alias("body"))
-    events = F.array(event(0, "start", F.col("role")), event(1, "delta", F.substring(F.col("text"), F.lit(1), half)), event(2, "delta", F.substring(F.col("text"), half + 1, F.length("text") - half)))
+    head, rest = F.substring(F.col("text"), F.lit(1), half), F.substring(F.col("text"), half + 1, F.length("text") - half)
+    event = lambda v, n, kind, body: F.struct(F.lit(v).cast("bigint").alias("version"), F.lit(n).cast("bigint").alias("seq"), F.lit(kind).alias("kind"), body.alias("body"))
+    draft = F.lit("a first try at this")
+    answer = F.array(event(1, 4, "delta", rest), event(1, 3, "delta", head), event(1, 2, "start", F.col("role")), event(0, 1, "delta", draft), event(0, 0, "start", F.col("role")))
+    other = F.array(event(0, 3, "delta", rest), event(0, 2, "edit", head), event(0, 1, "delta", draft), event(0, 0, "start", F.col("role")))
     numbered = clean.withColumn("row", F.monotonically_increasing_id())  # tells repeated rows apart
-    keyed = numbered.select("conv_id", F.col("turn").alias("message"), F.struct("role", "text").alias("tie"), "row", F.explode(events).alias("e"))
-    return keyed.select("conv_id", "message", "tie", "row", F.lit(0).cast("bigint").alias("version"), "e.*")
+    return numbered.select("conv_id", F.col("turn").alias("message"), F.struct("role", "text").alias("tie"), "row", F.explode(F.when(F.col("role") == "assistant", answer).otherwise(other)).alias("e")).select("conv_id", "message", "tie", "row", "e.*")
 
 
 def _fold(batches):
@@ -145,5 +151,6 @@ def _digest(batches):
 
 def digests(segments: DataFrame) -> DataFrame:
     """What render()'s segments say when read back, by conversation. The rows must come straight
-    from render(): conversations stand whole and in order within a partition."""
+    from render(): conversations stand whole and in order within a partition. A conversation is one row
+    however long; it is hashed turn by turn, without holding it. No segments give no rows."""
     return segments.mapInArrow(_digest, DIGEST)

@@ -339,6 +339,21 @@ def test_license_expressions():
     assert (k, first, last, base, labels, free) == (2, 0, 12, "mit", "apache-2,mit", True)
 
 
+def test_license_families_and_brute_labels():
+    """Identifiers by family; labels and scores of texts against looking for every phrase at every word."""
+    for name, label in (("gpl-2.0+", "gpl"), ("bsd-3-clause-clear", "bsd"), ("cc-by-nc-sa-4.0", "cc-by-nc"), ("cc-by-sa-3.0", "cc-by-sa"), ("eupl-1.2", "eupl"), ("gpl-9.9", None), ("mitt", None)):
+        assert license_scan.label_of(name) == label
+    a, rng = license_scan.automaton(), random.Random(3)
+    phrases = {**license_scan.BASE, **license_scan.NOTICES}
+    pool = sorted({w for p in phrases for w in p.split()})
+    for _ in range(200):
+        parts = [rng.choice([rng.choice(list(phrases)), rng.choice(pool), rng.choice(pool)]) for _ in range(12)]
+        words = " ".join(parts).split()
+        want = {v for p, v in phrases.items() for i in range(len(words)) if words[i:i + len(p.split())] == p.split()}
+        *_, labels, score, _, _ = license_scan.scan_text(a, " ".join(words).upper().encode())
+        assert set(filter(None, labels.split(","))) == want and 0 <= score <= 1 and (score > 0) == bool(want)
+
+
 def test_license_expressions_are_read_whole():
     a = license_scan.automaton()
     text = "SPDX-License-Identifier: " + " AND ".join(["MIT"] * 60 + ["GPL-3.0-only"])
@@ -458,6 +473,15 @@ def test_chat_round_trip(spark, data):
     assert not want
 
 
+def test_chat_log_is_edited_regenerated_and_unordered(spark):
+    df = spark.createDataFrame([(1, 0, "user", "hello there"), (1, 1, "assistant", "good day")], "conv_id long, turn long, role string, text string")
+    log = chat.message_events(df).orderBy("message").collect()
+    assert {r["kind"] for r in log} == {"start", "delta", "edit"} and {r["version"] for r in log if r["message"] == 1} == {0, 1} and [r["seq"] for r in log if r["message"] == 0] != [0, 1, 2, 3]
+    assert [chat.read_turn(r["segment"]) for r in chat.render(chat.message_events(df)).orderBy("turn").collect()] == [("user", "hello there"), ("assistant", "good day")]
+    none = df.where("conv_id > 9")
+    assert chat.digests(chat.render(chat.message_events(none))).count() == 0
+
+
 def test_chat_edits_and_regenerations(spark):
     ev = [(1, 0, 0, 0, "start", "user"), (1, 0, 0, 1, "delta", "hel"), (1, 0, 0, 2, "delta", "lo"), (1, 1, 0, 0, "start", "assistant"), (1, 1, 0, 1, "delta", "bad"), (1, 1, 1, 2, "delta", "go"), (1, 1, 1, 3, "delta", "od"), (1, 2, 0, 0, "start", "user"), (1, 2, 0, 1, "delta", "x"), (1, 2, 0, 2, "edit", "new"), (1, 2, 0, 3, "delta", "!")]
     df = spark.createDataFrame(ev, "conv_id long, message long, version long, seq long, kind string, body string")
