@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalars import div
+from ..sources.tables import settled
 
 TEXT_LENGTH = 50
 SHAPIRO_MOST = 5000
@@ -23,13 +24,34 @@ def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
 
 
+def counted_before(cells: DataFrame, group: str, value: str, k: str, parts: int = 64) -> DataFrame:
+    """Adds before: how many rows of the group stand below each value, of cells (group, value, k rows of
+    it). Ranges of the order are summed apart and shifted by the sums before them, so no task orders a group."""
+    cut = settled(cells.repartitionByRange(parts, group, value).sortWithinPartitions(group, value).withColumn("_part", F.spark_partition_id()))
+    earlier = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = cut.groupBy(group, "_part").agg(F.sum(k).alias("_k")).select(group, "_part", F.coalesce(F.sum("_k").over(earlier), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy(group, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    return cut.join(F.broadcast(starts), [group, "_part"]).withColumn("before", F.col("_start") + F.coalesce(F.sum(k).over(inside), F.lit(0))).drop("_part", "_start")
+
+
+def medians(df: DataFrame, columns: list[str]) -> DataFrame:
+    """column, median of the known values, exact, from counts by value."""
+    cells = long_form(df, columns).groupBy("column", "x").agg(F.count(F.lit(1)).alias("k"))
+    placed = counted_before(cells, "column", "x", "k")
+    n = placed.groupBy("column").agg(F.sum("k").alias("n"))
+    at = lambda place: (F.col("before") < place) & (place <= F.col("before") + F.col("k"))
+    low, high = F.floor((F.col("n") + 1) / 2), F.floor((F.col("n") + 2) / 2)
+    found = placed.join(F.broadcast(n), "column").groupBy("column").agg(F.max(F.when(at(low), F.col("x"))).alias("lo"), F.max(F.when(at(high), F.col("x"))).alias("hi"))
+    return found.select("column", ((F.col("lo") + F.col("hi")) / 2).alias("median"))
+
+
 def numeric_stats(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """column, n, mean, std, median, min, max, skewness, kurtosis; the last two bias-corrected, 0 for a
-    constant column, null below 3 and 4 values."""
+    constant column, null below 3 and 4 values. Moments come from one aggregation of the rows as they are."""
     columns = columns or numeric_columns(df)
-    x = F.col("x")
-    agg = long_form(df, columns).groupBy("column").agg(
-        F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.median(x).alias("median"), F.min(x).alias("min"), F.max(x).alias("max"), F.skewness(x).alias("g1"), F.kurtosis(x).alias("g2"))
+    moments = lambda c, x: F.struct(F.lit(c).alias("column"), F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"), F.skewness(x).alias("g1"), F.kurtosis(x).alias("g2"))
+    one = df.agg(*[moments(c, F.col(c).cast("double")).alias(f"_{i}") for i, c in enumerate(columns)])
+    agg = one.select(F.explode(F.array(*[f"_{i}" for i in range(len(columns))])).alias("m")).select("m.*").where("n > 0").join(F.broadcast(medians(df, columns)), "column")
     n = F.col("n").cast("double")
     flat = F.col("min") == F.col("max")
     skew = F.when(n < 3, None).when(flat, 0.0).otherwise(F.try_divide(F.sqrt(n * (n - 1)), n - 2) * F.col("g1"))
@@ -47,12 +69,15 @@ def categorical_stats(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def column_types(df: DataFrame) -> DataFrame:
     """name, dtype (numeric, text above an average length of 50, else categorical), missing_count,
-    unique_count. All columns in one aggregation; counts are exact."""
+    unique_count. Counts are exact: distinct values are grouped by column, long ones by their SHA-256."""
     numbers = set(numeric_columns(df))
-    aggs = [F.struct(F.lit(c).alias("name"), F.count_if(F.col(c).isNull()).alias("missing_count"), F.count_distinct(c).alias("unique_count"), F.avg(F.length(F.col(c).cast("string"))).alias("avg_len"), F.lit(c in numbers).alias("num")).alias(f"_{i}") for i, c in enumerate(df.columns)]
-    one = df.agg(*aggs).select(F.explode(F.array(*[f"_{i}" for i in range(len(df.columns))])).alias("s")).select("s.*")
+    whole = df.agg(*[F.struct(F.lit(c).alias("name"), F.count_if(F.col(c).isNull()).alias("missing_count"), F.avg(F.length(F.col(c).cast("string"))).alias("avg_len"), F.lit(c in numbers).alias("num")).alias(f"_{i}") for i, c in enumerate(df.columns)])
+    one = whole.select(F.explode(F.array(*[f"_{i}" for i in range(len(df.columns))])).alias("s")).select("s.*")
+    value = lambda c: F.when(F.length(F.col(c).cast("string")) > 64, F.concat(F.lit("#"), F.sha2(F.col(c).cast("string"), 256))).otherwise(F.concat(F.lit("="), F.col(c).cast("string")))
+    seen = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), value(c).alias("v")) for c in df.columns])).alias("s")).select("s.*").where("v is not null").groupBy("name", "v").agg(F.lit(1).alias("one"))
+    unique = seen.groupBy("name").agg(F.count(F.lit(1)).alias("unique_count"))
     kind = F.when(F.col("num"), "numeric").when(F.col("avg_len") > TEXT_LENGTH, "text").otherwise("categorical")
-    return one.select("name", kind.alias("dtype"), "missing_count", "unique_count")
+    return one.join(F.broadcast(unique), "name", "left").select("name", kind.alias("dtype"), "missing_count", F.coalesce("unique_count", F.lit(0)).cast("bigint").alias("unique_count"))
 
 
 def data_type(types: DataFrame) -> DataFrame:
@@ -85,8 +110,7 @@ def _spearman(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
 
     def ranks(c):
         by = cells.groupBy("p", c).agg(F.sum("k").alias("m"))
-        w = Window.partitionBy("p").orderBy(c).rowsBetween(Window.unboundedPreceding, -1)
-        return by.select("p", c, (F.coalesce(F.sum("m").over(w), F.lit(0)) + (F.col("m") + 1) / 2.0).alias(f"r{c}"))
+        return counted_before(by, "p", c, "m").select("p", c, (F.col("before") + (F.col("m") + 1) / 2.0).alias(f"r{c}"))
 
     ranked = cells.join(ranks("x"), ["p", "x"]).join(ranks("y"), ["p", "y"])
     k, x, y = F.col("k").cast("double"), F.col("rx"), F.col("ry")
