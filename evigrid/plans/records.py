@@ -14,13 +14,19 @@ def dedupe_by_doi(spark, d):
     return dedup.best_by_doi(records(spark, d)).select("pos", "doi", "citation_count", "first_pos", "tier")
 
 
-@query()
+#: The pass as such, one record after the other; {{extra}} is what a record that is dropped for its title registers.
+_PASS = f"""with recursive {RECORDS_SQL}, o as materialized (select row_number() over (order by pos) as n, pos, doi, title, 'd:' || lower(nullif(trim(doi), '')) as k, 't:' || trim(regexp_replace(lower(title), '[^\\p{{L}}\\p{{M}}\\p{{N}}_\\s]', '', 'g')) as t from records),
+w as (select cast(0 as bigint) as n, cast([] as varchar[]) as seen, false as kept union all select o.n, case when k is not null and list_contains(seen, k) then seen when t is not null and list_contains(seen, t) then {{extra}} else list_concat(seen, list_filter([k, t], lambda x: x is not null)) end,
+ not (coalesce(list_contains(seen, k), false) or coalesce(list_contains(seen, t), false)) from w join o on o.n = w.n + 1) select o.pos, o.doi, o.title from o join (select n from w where kept) using (n)"""
+
+
+@query(_PASS.replace("{extra}", "seen"))
 def dedupe_sequential(spark, d):
-    """DOI-or-title pass in arrival order; order-dependent, so tests hold it against a loop."""
+    """DOI-or-title pass in arrival order."""
     return dedup.sequential(records(spark, d).select("pos", "doi", "title")).select("pos", "doi", "title")
 
 
-@query()
+@query(_PASS.replace("{extra}", "list_concat(seen, list_filter([k], lambda x: x is not null))"))
 def dedupe_rounds(spark, d):
     """As dedupe_sequential, a title duplicate's DOI counting as seen."""
     return dedup.sequential(records(spark, d).select("pos", "doi", "title"), register_dropped_doi=True).select("pos", "doi", "title")
