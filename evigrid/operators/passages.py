@@ -208,3 +208,93 @@ GUIDELINE_WORDS = ("author", "manuscript", "submission", "word limit", "referenc
 def looks_like_guidelines(c) -> Column:
     t = F.lower(F.coalesce(col(c), F.lit("")))
     return sum((F.contains(t, F.lit(w)).cast("int") for w in GUIDELINE_WORDS), F.lit(0)) >= 2
+
+
+#: Words that a quote may have more or less than its source, how long a quote is looked
+#: for, and how long a citation that it leaves out may be.
+ARTICLES = ("a", "an", "the")
+LEAST_TOKENS, MOST_CITATION = 8, 12
+
+
+def _without_citations(c) -> Column:
+    """The text with its bracketed citations blanked, so that all places stay what they were."""
+    groups = F.regexp_extract_all(c, F.lit(r"(?:\([^()]*\b(?:\d{4}[a-z]?|n\.d\.)[^()]*\)|\[\d[\d,;–\s-]*\])"), F.lit(0))
+    short = F.filter(groups, lambda g: F.size(F.split(F.trim(g), r"\s+")) <= MOST_CITATION)
+    return F.aggregate(short, c, lambda t, g: F.replace(t, g, F.repeat(F.lit(" "), F.length(g))))
+
+
+def relocated(segment, chunks) -> Column:
+    """struct<chunk, text>: the source's own words for a segment that differs from a run of them by
+    articles, or leaves out their bracketed citations; null for any other difference, and for segments
+    of fewer than LEAST_TOKENS words. The first chunk that has it counts."""
+    bare = lambda spans: F.filter(spans, lambda s: ~s["token"].isin(*ARTICLES))
+    line = lambda spans: F.concat(F.lit(" "), F.array_join(F.transform(spans, lambda s: s["token"]), " "), F.lit(" "))
+
+    def found(wanted, chunk, text):
+        def slice_of(spans):
+            at = F.position(line(wanted), line(spans))
+            first = F.size(F.split(F.left(line(spans), at), " ")) - 1  # words before the run
+            begin, hi = F.get(spans, first - 1)["start"], F.get(spans, first + F.size(wanted) - 2)["stop"]
+            lo = begin - F.when(leads, F.length(F.regexp_extract(F.left(chunk, begin), r"(?i)\b((?:an?|the)\s+)$", 1))).otherwise(0)
+            return F.when(at > 0, F.substr(chunk, lo + 1, hi - lo))
+
+        return let(bare(token_spans(text)), slice_of)
+
+    def sought(wanted):
+        each = F.transform(col(chunks), lambda c, i: F.struct(i.alias("chunk"), F.coalesce(found(wanted, c, c), found(wanted, c, _without_citations(c))).alias("text")))
+        return F.get(F.filter(each, lambda x: x["text"].isNotNull()), F.lit(0))
+
+    enough = F.size(token_spans(segment)) >= LEAST_TOKENS
+    leads = F.lower(F.trim(col(segment))).rlike(r"^\W*(an?|the)\b")
+    return F.when(enough, let(bare(token_spans(segment)), sought))
+
+
+#: Verbs that report, all their forms; words that rank, and nouns of the literature that they rank.
+REPORTING = ("add adds added note notes noted report reports reported find finds found show shows showed shown document documents documented examine examines examined demonstrate demonstrates demonstrated observe observes observed argue argues argued "
+             "conclude concludes concluded state states stated describe describes described write writes wrote caution cautions cautioned cautioning warn warns warned warning propose proposes proposed proposing contend contends contended contending "
+             "maintain maintains maintained maintaining emphasise emphasises emphasised emphasising emphasize emphasizes emphasized emphasizing stress stresses stressed stressing acknowledge acknowledges acknowledged acknowledging concede concedes conceded conceding").split()
+RANKING = "strongest clearest best weakest definitive conclusive foremost leading prime chief stronger clearer weaker".split()
+DEGREE_WORDS = "direct directly convincing compelling robust striking controlled".split()
+LITERATURE = "evidence support study studies research work finding findings demonstration account case treatment example illustration comparison design test tests".split()
+_AFTER_CITATION = r"^\s*(?:\([^()]*\d{4}[a-z]?\)|\p{Lu}[^()]{0,80}\(\s*\d{4}[a-z]?[^()]*\))\s+([A-Za-zÀ-ɏ]+)"
+
+
+def participle_opening(c) -> Column:
+    """Whether a sentence is a citation followed at once by a reporting verb in -ing, with no verb of its own."""
+    word = F.lower(F.regexp_extract(F.coalesce(col(c), F.lit("")), _AFTER_CITATION, 1))
+    return F.array_contains(word_set([v for v in REPORTING if v.endswith("ing")]), word)
+
+
+def reporting_opening(c) -> Column:
+    """Whether a sentence's first word is a finite form of a reporting verb other than its base form."""
+    base = {v for v in REPORTING if not v.endswith(("s", "ed", "ing")) and v not in ("found", "shown", "wrote")} | {"stress"}
+    word = F.lower(F.regexp_extract(F.coalesce(col(c), F.lit("")), r"^\s*([A-Za-zÀ-ɏ]+)", 1))
+    return F.array_contains(word_set([v for v in REPORTING if v not in base and not v.endswith("ing")]), word)
+
+
+def ranks_literature(c) -> Column:
+    """Whether a text ranks the literature: a superlative or comparative up to two words before a noun of
+    it, or such a noun, "is", and a ranking word up to two words on."""
+    def marks(words):
+        return F.transform(words, lambda w, i: F.array_contains(word_set(RANKING), w) | (w.isin("most", "least", "more", "less") & F.coalesce(F.array_contains(word_set(DEGREE_WORDS), F.get(words, i + 1)), F.lit(False))))
+
+    def judged(words):
+        noun = lambda w: F.array_contains(word_set(LITERATURE), w)
+
+        def over(ranked):
+            wide = lambda i: F.when(F.get(words, i).isin("most", "least", "more", "less"), 1).otherwise(0)
+            before = F.exists(F.sequence(F.lit(0), F.greatest(F.size(words) - 1, F.lit(0))), lambda i: F.coalesce(F.get(ranked, i), F.lit(False)) & F.exists(F.slice(words, i + wide(i) + 2, F.lit(3)), noun))
+            after = F.exists(F.sequence(F.lit(0), F.greatest(F.size(words) - 1, F.lit(0))), lambda i: F.coalesce(noun(F.get(words, i)) & (F.get(words, i + 1) == "is"), F.lit(False)) & F.exists(F.slice(ranked, i + 3, F.lit(3)), lambda r: r))
+            return before | after
+
+        return let(marks(words), over)
+
+    return let(F.regexp_extract_all(F.lower(F.coalesce(col(c), F.lit(""))), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), judged)
+
+
+def numbering_covers(texts, entries: Column) -> Column:
+    """Whether every number cited in brackets in the texts has an entry."""
+    from .claims import numbered_citations
+
+    numbers = F.flatten(F.transform(col(texts), lambda t: numbered_citations(t, 10_000)))
+    return F.forall(numbers, lambda n: n <= entries)

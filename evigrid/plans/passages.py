@@ -209,3 +209,31 @@ def chat_candidates(spark, d):
     o = table(spark, d, "orders").select("o_custkey", F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("added_at"), "o_orderstatus")
     c = drafts.candidates(o, "o_custkey", 6, o.where("o_orderstatus = 'F'").select("o_custkey", "id"), 2)
     return c.select(F.col("id").alias("o_orderkey"), "o_custkey")
+
+
+@query("""select p_partkey, case p_partkey % 5 when 0 then 'The ' || p_name || ' (Lee, 2020) was shown to work in the field trials of' when 1 then p_name || ' was shown to work in a field trials of' when 2 then null when 3 then null else p_name || ' was shown to work in the field trials of' end as passage, case p_partkey % 5 when 0 then 0 when 1 then 1 when 4 then 0 end as chunk from part""")
+def quotes_relocated(spark, d):
+    """Quotes that leave out a citation or an article are found as the source has them; other words, a
+    citation put in, or too few words are not."""
+    n, name = F.col("p_partkey"), F.col("p_name")
+    rest = F.lit(" was shown to work in the field trials of")
+    cited = F.concat(F.lit("Before. The "), name, F.lit(" (Lee, 2020) was shown to work in the field trials of 1990."))
+    plain = F.concat(F.lit("Before: "), name, rest, F.lit(" 1990."))
+    article = F.concat(F.lit("So "), name, F.lit(" was shown to work in a field trials of 1990."))
+    chunks = F.when(n % 5 == 0, F.array(cited, plain)).when(n % 5 == 1, F.array(F.lit("Nothing here"), article)).otherwise(F.array(plain, F.lit("Nothing here")))
+    quote = (F.when(n % 5 == 0, F.concat(F.lit("The "), name, F.lit(" was shown to work in the field trials of"))).when(n % 5 == 2, F.concat(name, F.lit(" was shown to fail in the field trials of")))
+             .when(n % 5 == 3, F.concat(name, F.lit(" (Lee, 2020) was shown to work in the field trials of"))).otherwise(F.concat(name, rest)))
+    p = table(spark, d, "part").select("p_partkey", chunks.alias("chunks"), quote.alias("quote"))
+    p = p.select("p_partkey", passages.relocated("quote", "chunks").alias("r"))
+    return p.select("p_partkey", F.col("r.text").alias("passage"), F.col("r.chunk").alias("chunk"))
+
+
+@query("""select o_orderkey, o_orderkey % 6 = 0 as participle, o_orderkey % 6 = 1 as reporting, o_orderkey % 6 in (2, 3) as ranking, o_orderkey % 4 <> 3 as covered from orders""")
+def sentence_shapes(spark, d):
+    n = F.col("o_orderkey")
+    name = F.concat(F.lit("Author"), S("o_orderkey"))
+    s = (F.when(n % 6 == 0, F.concat(name, F.lit(" and Ma (2024) cautioning that scales vary."))).when(n % 6 == 1, "Reported by many, scales vary.").when(n % 6 == 2, F.concat(name, F.lit(" offers the most compelling recent evidence here.")))
+         .when(n % 6 == 3, "This evidence is by far stronger than before.").when(n % 6 == 4, F.concat(name, F.lit(" (2024) reported cautioning others."))).otherwise("The best learners read the study."))
+    cites = F.array(F.lit("as in [1, 3-5]"), F.when(n % 4 == 3, "and [12]").otherwise("and [10]"))
+    o = table(spark, d, "orders")
+    return o.select("o_orderkey", passages.participle_opening(s).alias("participle"), passages.reporting_opening(s).alias("reporting"), passages.ranks_literature(s).alias("ranking"), passages.numbering_covers(cites, F.lit(10)).alias("covered"))
