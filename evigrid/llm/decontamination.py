@@ -35,13 +35,17 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """term, doc_id, th, pos for every place of one of terms(term, ...) in docs; further columns of terms follow."""
+    """term, doc_id, th, pos for every place of one of terms(term, ...) in docs; further columns of terms follow.
+
+    th is the text's hash. A null text has no places, a null doc_id stays null, repeated rows give their
+    places each, and empty tables give none. Other columns of docs are not looked at.
+    """
     spread = _keyed(docs).select("doc_id", "th", F.posexplode(words_of("text")).alias("pos", "term"))
     return spread.join(_small(terms), "term")
 
 
 def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """Places of each of terms(term) in the corpus."""
+    """term, n: places of each of terms(term) in the corpus, repeated rows counted each; none for a term that stands nowhere."""
     spread = docs.select(F.explode(words_of("text")).alias("term"))
     return spread.join(_small(terms), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
 
@@ -97,7 +101,12 @@ def _covered(spans):
 
 
 def phrase_hits(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """doc_id, th (hash of the text), spans and items (ids) of the documents that hold a window of an item."""
+    """doc_id, th (hash of the text), spans and items (ids) of the documents that hold a window of an item.
+
+    Spans are (start, len) in words, sorted, and may overlap. Documents that hold none have no row; equal
+    rows give one, rows of a doc_id with other texts one each. Null texts and items without words hold and
+    are nothing; a null item_id has spans but is no item. Very long texts are taken whole.
+    """
     ranked = stored(ranked_items(docs, items), "ranked")
     laid = alignments(docs, stored(anchors(ranked), "anchors")).join(_small(ranked.select("item", "item_id", "words")), "item")
     cand = stored(laid.groupBy("doc_id", "th").agg(F.collect_list(F.struct("shift", "item_id", "words")).alias("laid")), "alignments")
@@ -113,7 +122,11 @@ def phrase_hits(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def proximity_hits(docs: DataFrame, phrases: DataFrame, slop: int = 4) -> DataFrame:
     """doc_id, item_id, pos: places of an item's rarest word with all its other words near, in any
-    order, within the item's length plus slop words to either side."""
+    order, within the item's length plus slop words to either side.
+
+    Of equally rare words the earlier counts. Null texts and items without words match nothing, repeated
+    rows give their places each, and empty tables give none.
+    """
     ranked = stored(ranked_items(docs, phrases), "ranked")
     rare = ranked.select("item", "item_id", "words", F.array_min("ranked").alias("r")).where("r.n > 0").select(F.col("r.term").alias("term"), "item_id", F.array_distinct("words").alias("need"), (F.size("words") + slop).alias("reach"))
     spread = _keyed(docs).select("doc_id", "th", words_of("text").alias("w"))
