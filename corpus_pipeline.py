@@ -33,7 +33,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     docs = docs.select(*COLUMNS)
     kept = near_duplicates(docs.select("doc_id", "text")).where("kept").select("doc_id").distinct()
     stay = docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
-    again = stay.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
+    again = docs.select("doc_id").where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
+    if again.isEmpty():  # ids alone tell; texts need not move
+        return stay.select(*COLUMNS)
     one = stay.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("r")).select("doc_id", "r.*")
     return stay.join(again, "doc_id", "left_anti").select(*COLUMNS).unionByName(one)
 
