@@ -40,7 +40,7 @@ TAGS = ("spdx license identifier", "license identifier", "spdx licence identifie
 KEYS = (b"licen", b" cc by nc ", b" reserved ", b" granted ", b"redistribution", b" commons ", b" public domain ", b" permission to use ")
 #: Families of identifiers known to the expression reader, as patterns of the lower-case identifier, and their labels.
 FAMILIES = (
-    (r"mit(-0|-advertising|-cmu|-feh|-modern-variant)?|x11|expat", "mit"), (r"apache-[12]\.[01]", "apache-2"), (r"(0bsd|bsd-[0-9]-clause(-[a-z-]+)?)", "bsd"),
+    (r"mit(-0|-advertising|-cmu|-feh|-modern-variant)?|x11|expat", "mit"), (r"apache-2\.0", "apache-2"), (r"apache-1\.[01]", "apache-1"), (r"(0bsd|bsd-[0-9]-clause(-[a-z-]+)?)", "bsd"),
     (r"gpl-[123]\.0(-only|-or-later|\+)?", "gpl"), (r"lgpl-(2\.0|2\.1|3\.0)(-only|-or-later|\+)?", "lgpl"), (r"agpl-[13]\.0(-only|-or-later|\+)?", "agpl"), (r"mpl-(1\.0|1\.1|2\.0)(-no-copyleft-exception)?", "mpl"),
     (r"cc0-1\.0", "cc0"), (r"cc-by-nc(-sa|-nd)?-[1-4]\.[05]", "cc-by-nc"), (r"cc-by-sa-[1-4]\.[05]", "cc-by-sa"), (r"cc-by-nd-[1-4]\.[05]", "cc-by-nd"), (r"cc-by-[1-4]\.[05]", "cc-by"),
     (r"isc", "isc"), (r"unlicense", "unlicense"), (r"zlib(-acknowledgement)?", "zlib"), (r"bsl-1\.0", "boost"), (r"epl-[12]\.0", "epl"), (r"eupl-1\.[012]", "eupl"), (r"cddl-1\.[01]", "cddl"), (r"artistic-(1\.0(-perl|-cl8)?|2\.0)", "artistic"),
@@ -54,7 +54,7 @@ def label_of(identifier: str) -> str | None:
     return next((label for p, label in _FAMILIES if p.fullmatch(identifier)), None)
 
 
-PERMISSIVE = {"mit", "apache-2", "bsd", "isc", "cc-by", "cc0", "unlicense", "zlib", "boost", "python", "postgresql", "ncsa", "wtfpl", "pddl"}
+PERMISSIVE = {"mit", "apache-1", "apache-2", "bsd", "isc", "cc-by", "cc0", "unlicense", "zlib", "boost", "python", "postgresql", "ncsa", "wtfpl", "pddl"}
 SCHEMA = "doc_id bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double, expressions array<string>, open_use boolean"
 _WORD = re.compile(ALNUM)
 _TAG = re.compile(rb"licen[sc]e-identifier:[ \t]*([^\n\r*/<>\"]+)", re.I)
@@ -64,6 +64,11 @@ _RANK = {"or": 1, "and": 2, "with": 3}
 
 def postfix(expression: str) -> list[str]:
     """Shunting-yard: identifiers and operators in evaluation order; ends before what does not fit."""
+    return parsed(expression)[0]
+
+
+def parsed(expression: str) -> tuple[list[str], bool]:
+    """postfix(), and whether it is whole: no operator lacks its right side and no bracket is left open."""
     out, waiting, operand = [], [], False
     for piece in _PIECE.findall(expression):
         low = piece.lower()
@@ -89,24 +94,27 @@ def postfix(expression: str) -> list[str]:
                 break
             out.append(low)
             operand = True
+    whole = operand and "(" not in waiting
     if not operand and waiting and waiting[-1] != "(":
         waiting.pop()
     out += [w for w in reversed(waiting) if w != "("]
-    return out
+    return out, whole
 
 
 def evaluate(expression: str) -> tuple[set, bool | None]:
     """Labels named by an expression, and whether it permits free use: or needs one side, and both;
-    with (an exception) keeps its left side's answer. Unknown identifiers permit nothing."""
+    with (an exception) keeps its left side's answer. Unknown identifiers permit nothing, and an expression
+    that breaks off permits nothing known (null), though its labels count."""
     stack: list = []
-    for piece in postfix(expression):
+    pieces, whole = parsed(expression)
+    for piece in pieces:
         if piece in _RANK and len(stack) >= 2:
             (rl, ro), (ll, lo) = stack.pop(), stack.pop()
             stack.append((ll if piece == "with" else ll | rl, lo if piece == "with" else lo or ro if piece == "or" else lo and ro))
         elif piece not in _RANK:
             label = label_of(piece)
             stack.append(({label} if label else set(), label in PERMISSIVE))
-    return stack[-1] if stack else (set(), None)
+    return (stack[-1][0], stack[-1][1] if whole else None) if stack else (set(), None)
 
 
 def automaton():

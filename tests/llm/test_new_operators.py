@@ -242,3 +242,11 @@ def test_tournament_of_runs():
     for k in range(9):
         runs = [sorted((rng.randrange(20), j, i) for i in range(rng.randrange(7))) for j in range(k)]
         assert list(importance_resampling.Tournament([iter(r) for r in runs])) == sorted(itertools.chain(*runs))
+
+
+def test_license_families_and_broken_expressions():
+    from evigrid.llm.license_scan import evaluate
+
+    assert evaluate("Apache-2.0") == ({"apache-2"}, True) and evaluate("Apache-1.1 OR Apache-1.0") == ({"apache-1"}, True)
+    assert evaluate("MIT AND (") == ({"mit"}, None) and evaluate("MIT OR") == ({"mit"}, None) and evaluate("(MIT AND GPL-2.0-only") == ({"mit", "gpl"}, None)
+    assert evaluate("MIT AND (GPL-2.0-only OR BSD-2-Clause)") == ({"mit", "gpl", "bsd"}, True) and evaluate("") == (set(), None) and evaluate("MIT for this file") == ({"mit"}, True)
