@@ -165,6 +165,10 @@ def computed(rows: DataFrame) -> DataFrame:
     return rows.select(F.inline(F.array(F.struct(*rows.columns))))
 
 
+#: The guards in their order, by the reason that each gives.
+GUARDS = ("no_full_text_with_chunks", "attribution_mismatch", "assertion_status_inconsistent", "quote_not_verbatim", "scale_word_mismatch", "negation_scope_shift", "numeric_outside_cited_passage", "numeric_value_absent")
+
+
 def guarded(rows: DataFrame) -> DataFrame:
     """Adds final_status, machine_reasons and diagnostics to claims.
 
@@ -173,8 +177,11 @@ def guarded(rows: DataFrame) -> DataFrame:
     Texts are folded and numbers read once for each row; the guards are flags over those, and the
     status is the strictest floor of the flags that are set.
     """
-    from .scale import negation_shifted, scale_shifts
+    return decided(guard_flags(rows), rows.columns)
+
 
+def guard_flags(rows: DataFrame) -> DataFrame:
+    """rows with what the guards read off their texts: _holds, _whole, _unread, _g1, _g2, _g3, _g6."""
     kept = rows.columns
     chunks = F.coalesce("chunks", F.array().cast("array<string>"))
     read = computed(rows).select("*", F.transform(chunks, lambda x: letters_digits(x)).alias("_folded"), F.transform(quote_segments("quote"), lambda x: letters_digits(x)).alias("_segments"), numerals("claim").alias("_said"), F.transform(chunks, lambda x: numerals(x)).alias("_read"))
@@ -186,8 +193,20 @@ def guarded(rows: DataFrame) -> DataFrame:
     cited = F.flatten(F.filter(F.zip_with("_read", "_holds", lambda r, h: F.when(h, r)), lambda r: r.isNotNull()))
     outside = let(cited, lambda c: let(F.col("_absent"), lambda gone: F.exists("_said", lambda n: ~F.exists(gone, lambda a: a == n) & ~F.exists(c, lambda h: same(n, h)))))
     located = F.exists("_holds", lambda h: h)
-    flags = computed(seen).select(*kept, "_holds", "_whole", (F.size("_absent") > 0).alias("_unread"), ((F.col("status") == "no_full_text") & F.col("_has_chunks")).alias("_g1"),
+    return computed(seen).select(*kept, "_holds", "_whole", (F.size("_absent") > 0).alias("_unread"), ((F.col("status") == "no_full_text") & F.col("_has_chunks")).alias("_g1"),
                         ((F.coalesce(term_coverage("claim", "chunks"), F.lit(1.0)) < COVERAGE) & ~located).alias("_g2"), _assertion_floor("assertions").alias("_g3"), (located & outside).alias("_g6"))
+
+
+def decided(flags: DataFrame, kept: list[str], skip: tuple[str, ...] = ()) -> DataFrame:
+    """The guards' decision on guard_flags(), as if those of skip (reasons of GUARDS) did not exist.
+
+    Guards of quotes, scale words and negation look only at claims that those before left verified.
+    """
+    from .scale import negation_shifted, scale_shifts
+
+    off = lambda name, on: F.lit(False) if name in skip else on
+    flags = flags.withColumn("_g1", off(GUARDS[0], F.col("_g1"))).withColumn("_g2", off(GUARDS[1], F.col("_g2"))).withColumn("_g3", F.lit(None).cast("string") if GUARDS[2] in skip else F.col("_g3"))
+    flags = flags.withColumn("_g6", off(GUARDS[6], F.col("_g6"))).withColumn("_absent_number", off(GUARDS[7], F.col("_unread")))
     start = F.when(F.col("_g1"), RANK[2]).otherwise(F.col("status"))
     live = start.isin(*RANK)
     rank = F.greatest(_rank(start), F.when(F.col("_g2"), 2).otherwise(0), F.coalesce(_rank(F.col("_g3")), F.lit(0)))
@@ -195,16 +214,45 @@ def guarded(rows: DataFrame) -> DataFrame:
     unquoted = F.col("_live") & (F.col("_r") == 0) & ~F.col("_whole")
     verified = F.col("_live") & (F.col("_r") == 0) & F.col("_whole")
     quotes = F.array("quote")
-    shifts = computed(ranked).select("*", unquoted.alias("_g4"), (verified & (F.size(F.when(verified, scale_shifts("claim", quotes))) > 0)).alias("_g5a"), (verified & F.coalesce(F.when(verified, negation_shifted("claim", quotes)), F.lit(False))).alias("_g5b"))
-    slugs = [("no_full_text_with_chunks", F.col("_g1")), ("attribution_mismatch", F.col("_live") & F.col("_g2")), ("assertion_status_inconsistent", F.col("_live") & F.col("_g3").isNotNull()), ("quote_not_verbatim", F.col("_g4")),
-             ("scale_word_mismatch", F.col("_g5a")), ("negation_scope_shift", F.col("_g5b")), ("numeric_outside_cited_passage", F.col("_live") & F.col("_g6")), ("numeric_value_absent", F.col("_live") & F.col("_unread"))]
-    softened = F.col("_g4") | F.col("_g5a") | F.col("_g5b") | F.col("_g6") | F.col("_unread")
+    shifts = computed(ranked).select("*", off(GUARDS[3], unquoted).alias("_g4"), off(GUARDS[4], verified & (F.size(F.when(verified, scale_shifts("claim", quotes))) > 0)).alias("_g5a"), off(GUARDS[5], verified & F.coalesce(F.when(verified, negation_shifted("claim", quotes)), F.lit(False))).alias("_g5b"))
+    fired = (F.col("_g1"), F.col("_live") & F.col("_g2"), F.col("_live") & F.col("_g3").isNotNull(), F.col("_g4"), F.col("_g5a"), F.col("_g5b"), F.col("_live") & F.col("_g6"), F.col("_live") & F.col("_absent_number"))
+    slugs = list(zip(GUARDS, fired))
+    softened = F.col("_g4") | F.col("_g5a") | F.col("_g5b") | F.col("_g6") | F.col("_absent_number")
     final = F.when(F.col("_live"), F.get(F.array(*[F.lit(s) for s in RANK]), F.greatest(F.col("_r"), softened.cast("int")))).otherwise(F.col("_start"))
     unmarked = F.size(F.filter("assertions", lambda a: F.coalesce(a["central"], F.lit(False)))) != 1
     diagnostics = F.array_compact(F.array(F.when((F.size("assertions") > 0) & unmarked & ~F.exists("assertions", lambda a: a["verdict"] == "contradicted"), "centrality_unmarked"), F.when(F.col("_unread"), "numeric_not_in_source")))
     return shifts.select(*kept, final.alias("final_status"), F.array_compact(F.array(*[F.when(on, F.lit(name)) for name, on in slugs])).alias("machine_reasons"), diagnostics.alias("diagnostics"))
 
 
+def replayed(rows: DataFrame, guard: str) -> DataFrame:
+    """rows with before and after (the decision without and with one of GUARDS), found, examined, changed,
+    new_status and new_reasons: what bringing that guard in does to frozen rows.
+
+    Texts are read once for both. examined: the row could reach the guard, being verified without it; found:
+    it fires. A row's frozen status moves, and the guard's reason is added to its own, only if that status
+    was verified and the decision changes; rows that failed (error, or no_full_text without chunks) stay.
+    """
+    kept = rows.columns
+    flags = computed(guard_flags(rows))
+    # with all guards first: that leaves the flags as they are
+    whole = decided(flags, flags.columns).withColumnsRenamed({"final_status": "after", "machine_reasons": "_all", "diagnostics": "_d"})
+    both = decided(computed(whole), [*kept, "after", "_all"], (guard,)).withColumnRenamed("final_status", "before")
+    live = F.coalesce(F.col("before").isin(*RANK), F.lit(False))
+    found = F.array_contains("_all", guard) & ~F.array_contains("machine_reasons", guard)
+    out = both.select(*kept, "before", "after", (live & found).alias("found"), (F.col("before") == RANK[0]).alias("examined"), (live & (F.col("before") != F.col("after"))).alias("changed"))
+    moves = (F.col("status") == RANK[0]) & F.col("changed")
+    return out.withColumn("new_status", F.when(moves, F.col("after")).otherwise(F.col("status"))).withColumn("new_reasons", F.when(moves & F.col("found"), F.array(F.lit(guard))).otherwise(F.array().cast("array<string>")))
+
+
+def guard_reach(rows: DataFrame, guards: tuple[str, ...] = GUARDS) -> DataFrame:
+    """guard, n_rows, n_examined, n_found, n_changed, n_moved: how far each guard reaches into frozen rows."""
+    one = lambda g: replayed(rows, g).agg(F.count(F.lit(1)).alias("n_rows"), F.count_if("examined").alias("n_examined"), F.count_if("found").alias("n_found"), F.count_if("changed").alias("n_changed"), F.count_if(F.col("new_status") != F.col("status")).alias("n_moved")).select(F.lit(g).alias("guard"), "*")
+    out = one(guards[0])
+    for g in guards[1:]:
+        out = out.unionByName(one(g))
+    return out
+
+
 def _rank(s: Column) -> Column:
     return F.when(s == RANK[0], 0).when(s == RANK[1], 1).when(s == RANK[2], 2)
 

@@ -51,6 +51,35 @@ def diagnostics_by_status(spark, d):
     return claims.tallied(claims.guarded(claim_rows(spark, d)), "diagnostics", ["status"]).select("status", "slug", "n", "n_flagged", "n_rows")
 
 
+def _without(name: str) -> str:
+    """The decision in SQL, as if one of the guards were not there."""
+    off = lambda n, x: "false" if n == name else x
+    m, c, q, o = off("attribution_mismatch", "misplaced"), off("assertion_status_inconsistent", "contra"), off("quote_not_verbatim", "loose"), off("numeric_value_absent", "odd")
+    r = f"greatest(case s0 when 'unsupported' then 2 when 'needs_nuance' then 1 else 0 end, case when {m} or {c} then 2 else 0 end)"
+    return f"case when not live then s0 when {r} = 2 then 'unsupported' when {r} = 1 or {q} or {o} then 'needs_nuance' else 'verified' end"
+
+
+_REPLAY = "with @rows, p as (select conv_id, turn, status, @before as before, @after as after, live and @found as found from judged)".replace("@rows", _ROWS)
+_PLAYED = {"numeric_value_absent": "odd", "attribution_mismatch": "misplaced", "quote_not_verbatim": "r0 = 0 and loose", "assertion_status_inconsistent": "contra"}
+
+
+def _replay(name: str) -> str:
+    return _REPLAY.replace("@before", _without(name)).replace("@after", _without("")).replace("@found", "(" + _PLAYED[name] + ")")
+
+
+@query(f"{_replay('quote_not_verbatim')} select conv_id, turn, before, after, found, before = 'verified' as examined, before <> after as changed, case when status = 'verified' and before <> after then after else status end as new_status, case when status = 'verified' and before <> after and found then 'quote_not_verbatim' else '' end as new_reasons from p")
+def guard_replayed(spark, d):
+    """Every claim decided without and with the guard of quotes, and what that makes of its frozen status."""
+    r = claims.replayed(claim_rows(spark, d), "quote_not_verbatim")
+    return r.select("conv_id", "turn", "before", "after", "found", "examined", "changed", "new_status", F.array_join("new_reasons", ",").alias("new_reasons"))
+
+
+@query(" union all ".join(f"select * from ({_replay(g)} select '{g}' as guard, count(*) as n_rows, count(*) filter (where before = 'verified') as n_examined, count(*) filter (where found) as n_found, count(*) filter (where before <> after) as n_changed, count(*) filter (where status = 'verified' and before <> after and after <> status) as n_moved from p)" for g in _PLAYED))
+def guard_reach(spark, d):
+    """How many frozen claims each of four guards examines, finds at fault, and moves."""
+    return claims.guard_reach(claim_rows(spark, d), tuple(_PLAYED))
+
+
 @query("""select o_orderkey, case when o_orderkey % 3 = 0 then 'needs_nuance' else 'verified' end as final_status, o_orderkey % 3 = 0 as outside from orders""")
 def numerals_outside_passage(spark, d):
     """A claim's number stands in the paper, for a third of the claims not in the chunk that is quoted."""
