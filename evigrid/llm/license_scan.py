@@ -165,7 +165,8 @@ def scan_text(a, raw: bytes) -> tuple:
             if named:
                 labels |= named
                 expressions.append(expression)
-                open_use = free if open_use is None else open_use and free
+                if free is not None:
+                    open_use = free if open_use is None else open_use and free
     named = base | labels
     score = min(1.0, 0.6 * bool(base) + 0.25 * bool(expressions) + 0.1 * len(named) + 0.05 * min(len(places), 3)) if named else 0.0
     return len(words), len(places), min(places) if places else None, max(places) if places else None, ",".join(sorted(base)), ",".join(sorted(named)), score, expressions, open_use
