@@ -54,10 +54,13 @@ def upserted(spark, d):
     return edits.upsert(o, o.where("o_orderkey % 4 = 0").withColumn("o_orderstatus", F.lit("X")), ["o_orderkey"])
 
 
-@query("""select s_suppkey, upper(left('@', 1)) as k, s_name from supplier where s_suppkey < 0""")
+@query("""select s_suppkey, '@' as k, s_name from supplier where s_suppkey % 3 <> 0""")
 def bibliography_missing(spark, d):
-    """Entries without a title are dropped: none of these has one."""
-    s = table(spark, d, "supplier").select("s_suppkey", F.explode(files.parse_bibtex(F.concat(F.lit("@article{x, author = {"), "s_name", F.lit("}}")))).alias("b"))
+    """Entries without a title are dropped: every third one has none."""
+    n = F.col("s_suppkey")
+    titled = F.when(n % 3 == 1, F.concat(F.lit(", title = {"), "s_name", F.lit("}"))).when(n % 3 == 2, F.concat(F.lit(',\n TITLE = "'), "s_name", F.lit('"'))).otherwise("")
+    entry = F.concat(F.lit("@article{x, author = {"), "s_name", F.lit("}"), titled, F.lit("\n}"))
+    s = table(spark, d, "supplier").select("s_suppkey", F.explode(files.parse_bibtex(entry)).alias("b"))
     return s.select("s_suppkey", F.lit("@").alias("k"), F.col("b.title").alias("s_name"))
 
 

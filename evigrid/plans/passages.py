@@ -84,15 +84,17 @@ def claim_quotes(spark, d):
     return passages.quotes_of_claims(links, catalog).select("sentence", "key", F.array_join("quotes", " ").alias("quotes"))
 
 
-@query("""with e as (select p_partkey as entry, lower(string_split(p_name, ' ')[1]) as surname, cast(1990 + p_size as varchar) as y, lower(p_name || ' ' || p_brand) as raw from part), u as (select surname, y, count(*) as n, min(entry) as entry, min(raw) as raw from e group by 1, 2), c as (select o_orderkey as cite, lower(string_split(p_name, ' ')[1]) as surname, case when o_orderkey % 2 = 0 then lower(string_split(p_name, ' ')[2]) end as surname2, cast(1990 + o_custkey % 50 as varchar) as y from orders join part on p_partkey = o_custkey % 50)
+@query("""with e as (select p_partkey as entry, lower(string_split(p_name, ' ')[1]) || (p_partkey % 20) as surname, cast(1990 + p_size as varchar) as y, lower(p_name || ' ' || p_brand) as raw from part), u as (select surname, y, count(*) as n, min(entry) as entry, min(raw) as raw from e group by 1, 2),
+c as (select o_orderkey as cite, lower(string_split(p_name, ' ')[1]) || (p_partkey % 20) as surname, case o_orderkey % 4 when 0 then 'nowhere' when 2 then lower(string_split(p_name, ' ')[2]) end as surname2, cast(1990 + p_size + case when o_orderkey % 5 = 0 then 1 else 0 end as varchar) as y from orders join part on p_partkey = 1 + o_custkey % 200)
 select cite, entry from c join u using (surname, y) where n = 1 and (surname2 is null or contains(raw, surname2))""")
 def reference_matches(spark, d):
-    """Citations that one entry alone can mean."""
+    """Citations that one entry alone can mean; some have a second surname, some another year."""
     w = lambda i: F.lower(F.split("p_name", " ")[i])
-    p = table(spark, d, "part")
-    e = p.select(F.col("p_partkey").alias("entry"), w(0).alias("surname"), F.concat((1990 + F.col("p_size")).cast("string"), F.lit("a")).alias("year"), F.concat_ws(" ", "p_name", "p_brand").alias("raw"))
-    o = table(spark, d, "orders").withColumn("k", F.col("o_custkey") % 50)
-    c = o.join(p.withColumnRenamed("p_partkey", "k"), "k").select(F.col("o_orderkey").alias("cite"), w(0).alias("surname"), F.when(F.col("o_orderkey") % 2 == 0, w(1)).alias("surname2"), (1990 + F.col("k")).cast("string").alias("year"))
+    p = table(spark, d, "part").withColumn("s", F.concat(w(0), (F.col("p_partkey") % 20).cast("string")))
+    e = p.select(F.col("p_partkey").alias("entry"), F.col("s").alias("surname"), F.concat((1990 + F.col("p_size")).cast("string"), F.lit("a")).alias("year"), F.concat_ws(" ", "p_name", "p_brand").alias("raw"))
+    n = F.col("o_orderkey")
+    c = table(spark, d, "orders").withColumn("k", 1 + F.col("o_custkey") % 200).join(p.withColumnRenamed("p_partkey", "k"), "k")
+    c = c.select(n.alias("cite"), F.col("s").alias("surname"), F.when(n % 4 == 0, "nowhere").when(n % 4 == 2, w(1)).alias("surname2"), (1990 + F.col("p_size") + F.when(n % 5 == 0, 1).otherwise(0)).cast("string").alias("year"))
     return passages.matched_entries(c, e)
 
 
