@@ -1,7 +1,7 @@
 """The registered queries, by subject."""
 import importlib
 
-MODULES = ("records", "screening", "analytics", "statistics", "metrics", "texts", "graphs", "claims", "datasets", "streams", "reviews", "reviewers", "scalars", "passages", "filesets", "agreement", "finalization", "citing", "reflists", "access")
+MODULES = ("records", "screening", "analytics", "statistics", "metrics", "texts", "graphs", "claims", "datasets", "streams", "reviews", "reviewers", "scalars", "passages", "filesets", "agreement", "finalization", "citing", "reflists", "access", "labelled")
 
 
 def load() -> None:
