@@ -151,12 +151,16 @@ def missing_numerals(claim, sources) -> Column:
 
 def term_coverage(claim, chunks, stop: tuple = ()) -> Column:
     """Share of the claim's words of four letters or more that the chunks hold; null without such words."""
+    return term_share(claim, letters_digits(F.array_join(col(chunks), " ")), stop)
+
+
+def term_share(claim, folded: Column, stop: tuple = ()) -> Column:
+    """The same of texts that are folded and joined."""
     bare = F.lower(F.regexp_replace(F.coalesce(col(claim), F.lit("")), r"\([^()]*(?:1[5-9]|20)\d{2}[a-z]?[^()]*\)", " "))
     terms = F.array_distinct(F.transform(F.regexp_extract_all(bare, F.lit(r"[A-Za-z][A-Za-z'-]{3,}"), F.lit(0)), lambda w: letters_digits(w)))
     terms = F.filter(terms, lambda w: ~w.isin(*stop)) if stop else terms
-    hay = letters_digits(F.array_join(col(chunks), " "))
     share = lambda t, h: F.try_divide(F.size(F.filter(t, lambda w: F.contains(h, w))).cast("double"), F.size(t).cast("double"))
-    return let(hay, lambda h: let(terms, lambda t: share(t, h)))
+    return let(folded, lambda h: let(terms, lambda t: share(t, h)))
 
 
 def computed(rows: DataFrame) -> DataFrame:
@@ -177,14 +181,25 @@ def guarded(rows: DataFrame) -> DataFrame:
     Texts are folded and numbers read once for each row; the guards are flags over those, and the
     status is the strictest floor of the flags that are set.
     """
-    return decided(guard_flags(rows), rows.columns)
+    return decided(guard_flags(rows), [c for c in rows.columns if c not in FOLDED])
+
+
+#: What folded_chunks() adds.
+FOLDED = ("chunks_folded", "chunks_numerals")
+
+
+def folded_chunks(papers: DataFrame) -> DataFrame:
+    """papers(chunks, ...) with their texts folded and numbers read, for rows of many claims on one paper:
+    joined before the guards, that work is done once a paper and not once a claim."""
+    c = F.coalesce("chunks", F.array().cast("array<string>"))
+    return papers.withColumn("chunks_folded", F.transform(c, lambda x: letters_digits(x))).withColumn("chunks_numerals", F.transform(c, lambda x: numerals(x)))
 
 
 def guard_flags(rows: DataFrame) -> DataFrame:
     """rows with what the guards read off their texts: _holds, _whole, _unread, _g1, _g2, _g3, _g6."""
-    kept = rows.columns
-    chunks = F.coalesce("chunks", F.array().cast("array<string>"))
-    read = computed(rows).select("*", F.transform(chunks, lambda x: letters_digits(x)).alias("_folded"), F.transform(quote_segments("quote"), lambda x: letters_digits(x)).alias("_segments"), numerals("claim").alias("_said"), F.transform(chunks, lambda x: numerals(x)).alias("_read"))
+    kept = [c for c in rows.columns if c not in FOLDED]
+    rows = rows if set(FOLDED) <= set(rows.columns) else folded_chunks(computed(rows))
+    read = rows.select(*kept, F.col("chunks_folded").alias("_folded"), F.transform(quote_segments("quote"), lambda x: letters_digits(x)).alias("_segments"), numerals("claim").alias("_said"), F.col("chunks_numerals").alias("_read"))
     holds = let(F.col("_segments"), lambda segs: F.transform("_folded", lambda x: F.exists(segs, lambda s: F.contains(x, s))))
     whole = let(F.col("_folded"), lambda f: F.forall("_segments", lambda s: F.exists(f, lambda x: F.contains(x, s))))
     same = lambda n, h: numerals_equivalent(n["value"], n["percent"], h["value"], h["percent"])
@@ -194,7 +209,7 @@ def guard_flags(rows: DataFrame) -> DataFrame:
     outside = let(cited, lambda c: let(F.col("_absent"), lambda gone: F.exists("_said", lambda n: ~F.exists(gone, lambda a: a == n) & ~F.exists(c, lambda h: same(n, h)))))
     located = F.exists("_holds", lambda h: h)
     return computed(seen).select(*kept, "_holds", "_whole", (F.size("_absent") > 0).alias("_unread"), ((F.col("status") == "no_full_text") & F.col("_has_chunks")).alias("_g1"),
-                        ((F.coalesce(term_coverage("claim", "chunks"), F.lit(1.0)) < COVERAGE) & ~located).alias("_g2"), _assertion_floor("assertions").alias("_g3"), (located & outside).alias("_g6"))
+                        ((F.coalesce(term_share("claim", F.array_join("_folded", "")), F.lit(1.0)) < COVERAGE) & ~located).alias("_g2"), _assertion_floor("assertions").alias("_g3"), (located & outside).alias("_g6"))
 
 
 def decided(flags: DataFrame, kept: list[str], skip: tuple[str, ...] = ()) -> DataFrame:
@@ -232,7 +247,7 @@ def replayed(rows: DataFrame, guard: str) -> DataFrame:
     it fires. A row's frozen status moves, and the guard's reason is added to its own, only if that status
     was verified and the decision changes; rows that failed (error, or no_full_text without chunks) stay.
     """
-    kept = rows.columns
+    kept = [c for c in rows.columns if c not in FOLDED]
     flags = computed(guard_flags(rows))
     # with all guards first: that leaves the flags as they are
     whole = decided(flags, flags.columns).withColumnsRenamed({"final_status": "after", "machine_reasons": "_all", "diagnostics": "_d"})

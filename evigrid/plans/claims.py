@@ -20,13 +20,13 @@ guarded as (select conv_id, turn, status, case when not live then s0 when r0 = 2
 def claim_rows(spark, d):
     """Each turn as a claim about its conversation, quoting itself; some are made to fail one guard."""
     c = table(spark, d, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("t"), (F.col("conv_id") * 31 + F.col("turn")).alias("k"))
-    chunks = c.groupBy("conv_id").agg(F.collect_list("t").alias("chunks"))
+    chunks = claims.folded_chunks(c.groupBy("conv_id").agg(F.collect_list("t").alias("chunks")))
     k, t = F.col("k"), F.col("t")
     status = F.when(k % 19 == 0, "error").when(k % 17 == 0, "no_full_text").when(k % 5 == 0, "needs_nuance").otherwise("verified")
     claim = F.when(k % 10 == 3, F.concat(t, F.lit(" 98765.25"))).when(k % 10 == 6, F.concat(F.lit("Wholly other subject matter "), t)).otherwise(t)
     quote = F.translate(F.when(k % 6 == 1, F.concat(F.lit("zqxj wholly invented words "), F.md5(t))).otherwise(t), '"“”', "   ")
     verdict = F.when(k % 7 == 2, "contradicted").otherwise("supported")
-    return c.join(chunks, "conv_id").select("conv_id", "turn", status.alias("status"), claim.alias("claim"), quote.alias("quote"), "chunks", F.array(F.struct(verdict.alias("verdict"), F.lit(True).alias("central"))).alias("assertions"))
+    return c.join(chunks, "conv_id").select("conv_id", "turn", status.alias("status"), claim.alias("claim"), quote.alias("quote"), "chunks", *claims.FOLDED, F.array(F.struct(verdict.alias("verdict"), F.lit(True).alias("central"))).alias("assertions"))
 
 
 @query(f"""with {_ROWS} select conv_id, turn, final_status, had_chunks, attribution, inconsistent, unquoted, numeric_absent from guarded""")
