@@ -34,7 +34,7 @@ def _advance(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator
         return
     status, n, updated = state.get if state.exists else ("pending", 0, 0)
     for frame in frames:
-        for s, at in sorted(zip(frame["status"], frame["at"]), key=lambda x: x[1]):
+        for at, s in sorted(zip(frame["at"], frame["status"])):
             n += 1
             updated = max(updated, at)
             if status != "cancelled":
