@@ -593,4 +593,4 @@ def test_pipeline_stages_on_odd_rows(spark, data, odd, none):
 
 
 def test_all_are_registered():
-    assert sorted({n.split("_")[0] for n in queries.QUERIES}) == sorted(f"op{i}" for i in range(1, 11))
+    assert sorted({n.split("_")[0] for n in queries.QUERIES}) == sorted(f"op{i}" for i in range(1, 14))
