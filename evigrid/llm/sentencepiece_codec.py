@@ -11,6 +11,7 @@ of such edges a prefix has exactly one: the merges' own segmentation.
 """
 import re
 import struct
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -18,9 +19,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, tokenizer_path
+from .common import as_bytes, small_batches, tokenizer_path
 
 MARK = "▁"
+BLOCK = MARK.encode()
 WORD_CACHE = 600_000
 PAIR_CACHE = 2_000_000
 _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
@@ -79,9 +81,11 @@ class Model:
             raise ValueError("pieces reach over the start of a word")
         self.tails = {p[i:] for p in self.ids for i in range(len(p))}
         self.texts = [p.replace(MARK, " ") for p in self.pieces]
+        self.bytes = pa.array([bytes([int(p[3:5], 16)]) if k == 6 else t.encode() for p, t, k in zip(self.pieces, self.texts, self.kinds)], pa.large_binary())
         self.plain = np.array([k in (1, 4) for k in self.kinds])
-        self.apart: dict = {}
-        self.whole: dict = {}
+        self.odd = np.array([k not in (1, 4, 6) for k in self.kinds])
+        self.before: dict = {}
+        self.pairs = 0
 
     def merge(self, symbols: list[str]) -> list[str]:
         """What the merges make of a short run: the best-scored neighbours first, the left one on ties."""
@@ -96,19 +100,19 @@ class Model:
                 return symbols
             symbols[at:at + 2] = [symbols[at] + symbols[at + 1]]
 
-    def stands(self, piece: str) -> bool:
-        """Whether the merges make one symbol of the piece's characters."""
-        got = self.whole.get(piece)
-        if got is None:
-            got = self.whole[piece] = self.merge(list(piece)) == [piece]
+    def lefts(self, piece: str):
+        """The pieces before this one that the merges leave apart from it, as far as asked; False if the merges
+        do not make one symbol of the piece's characters."""
+        stands = (len(piece) == 1 or piece in self.ids) and self.merge(list(piece)) == [piece]
+        got = self.before[piece] = stands and {"": True, None: False}  # at the start; after no segmentation
         return got
 
-    def stay_apart(self, left: str, right: str) -> bool:
-        got = self.apart.get((left, right))
-        if got is None:
-            if len(self.apart) > PAIR_CACHE:
-                self.apart.clear()
-            got = self.apart[left, right] = self.merge([*left, *right]) == [left, right]
+    def stay_apart(self, lefts: dict, left: str, piece: str) -> bool:
+        self.pairs += 1
+        if self.pairs > PAIR_CACHE:
+            self.before.clear()
+            self.pairs = 0
+        got = lefts[left] = self.merge([*left, *piece]) == [left, piece]
         return got
 
     def id_list(self, piece: str) -> list[int]:
@@ -122,7 +126,7 @@ def encode_sorted(model: Model, words: list[str]):
     """(word, ids) for sorted distinct words; forward states are kept over common prefixes."""
     scores, lasts, before = [0.0], [""], ""
     low = min(model.scores) - 10
-    tails, ids, whole, unigram = model.tails, model.ids, model.whole, model.unigram
+    tails, ids, known, unigram = model.tails, model.ids, model.before, model.unigram
     for word in words:
         shared = 0
         for a, b in zip(before, word):
@@ -131,29 +135,40 @@ def encode_sorted(model: Model, words: list[str]):
             shared += 1
         del scores[shared + 1:], lasts[shared + 1:]
         for end in range(shared + 1, len(word) + 1):
-            best, last = None, ""
+            best, last = None, None
             for start in range(end - 1, -1, -1):
                 piece = word[start:end]
-                if piece not in tails and end - start > 1:
-                    break  # no piece ends in this, so none that is longer
-                known = piece in ids
-                if not known and end - start > 1 or scores[start] is None:
-                    continue
                 if unigram:
-                    now = scores[start] + (model.scores[ids[piece]] if known else low)
-                    if best is None or now > best:
-                        best, last = now, piece
-                elif (whole.get(piece) or model.stands(piece)) and (start == 0 or model.stay_apart(lasts[start], piece)):
-                    best, last = scores[start] + 1, piece
-                    break
-            scores.append(best)
+                    if end - start > 1 and piece not in tails:
+                        break  # no piece ends in this, so none that is longer
+                    if scores[start] is not None and (piece in ids or end - start == 1):
+                        now = scores[start] + (model.scores[ids[piece]] if piece in ids else low)
+                        if best is None or now > best:
+                            best, last = now, piece
+                    continue
+                lefts = known.get(piece)
+                if lefts is None:
+                    if end - start > 1 and piece not in tails:
+                        break
+                    lefts = model.lefts(piece)
+                if lefts:
+                    left = lasts[start]
+                    apart = lefts.get(left)
+                    if apart if apart is not None else model.stay_apart(lefts, left, piece):
+                        last = piece
+                        break
+            if unigram:
+                scores.append(best)
             lasts.append(last)
         before = word
         pieces, at = [], len(word)
         while at:
-            pieces.append(lasts[at])
-            at -= len(lasts[at])
-        yield word, [i for p in reversed(pieces) for i in model.id_list(p)]
+            piece = lasts[at]
+            pieces.append(piece)
+            at -= len(piece)
+        pieces.reverse()
+        out = list(map(ids.get, pieces))
+        yield word, [i for p in pieces for i in model.id_list(p)] if None in out else out
 
 
 def marked_words(model: Model, text: str) -> list[str]:
@@ -162,6 +177,15 @@ def marked_words(model: Model, text: str) -> list[str]:
     return _WORD.findall((MARK if model.prefix else "") + text.replace(" ", MARK))
 
 
+def word_keys(model: Model, text: str) -> list[str]:
+    """The marked words, without the mark that opens each of them where the model puts one before the text."""
+    if not model.prefix:
+        return marked_words(model, text)
+    if text and text[0] != " " and "  " not in text and MARK not in text:
+        return text.split(" ")  # single blanks: what stands between them
+    return [w[1:] for w in marked_words(model, text)]
+
+
 def decode(model: Model, ids: list[int]) -> str:
     """Text of ids: byte pieces join to UTF-8, what is not UTF-8 becomes U+FFFD byte by byte."""
     if model.plain[ids].all() if len(ids) else True:
@@ -192,6 +216,32 @@ def decode(model: Model, ids: list[int]) -> str:
     return text[1:] if model.prefix and text.startswith(" ") else text
 
 
+def decode_rows(model: Model, flat: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    """UTF-8 texts of the rows of ids between the ends; pieces of a whole batch are laid end to end at once."""
+    flat, ends = flat[ends[0]:ends[-1]], ends - ends[0]
+    pieces = model.bytes.take(pa.array(flat))
+    at = np.frombuffer(pieces.buffers()[1], "<i8", len(flat) + 1)[ends].tolist() if len(flat) else [0] * len(ends)
+    raw = memoryview(pieces.buffers()[2] or b"")
+    odd = np.concatenate([[0], np.cumsum(model.odd[flat])])[ends]  # rows with unknown or control pieces
+    out = []
+    for i, (lo, hi) in enumerate(zip(at, at[1:])):
+        text = raw[lo:hi].tobytes()
+        try:
+            if odd[i] != odd[i + 1]:
+                raise ValueError
+            text.decode()  # byte pieces that are not UTF-8 by themselves leave a text that is none
+            text = text.replace(BLOCK, b" ")
+            out.append(text[1:] if model.prefix and text.startswith(b" ") else text)
+        except ValueError:
+            out.append(decode(model, flat[ends[i]:ends[i + 1]].tolist()).encode())
+    return out
+
+
+def _id_rows(column) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of a list column and the ends of its rows; a null row has none."""
+    return column.values.to_numpy(), column.offsets.to_numpy()
+
+
 _MODELS: dict = {}
 
 
@@ -205,14 +255,15 @@ def _model(path: str):
 def _encode(path: str, keep: list[str]):
     def run(batches):
         model, known = _model(path)
+        mark = MARK if model.prefix else ""
         for batch in batches:
-            texts = [marked_words(model, t or "") for t in batch.column(batch.num_columns - 1).to_pylist()]
+            texts = [word_keys(model, t or "") for t in batch.column(batch.num_columns - 1).to_pylist()]
             if len(known) > WORD_CACHE:
                 known.clear()
-            fresh = {w for words in texts for w in words if w not in known}
-            for word, ids in encode_sorted(model, sorted(fresh)):
-                known[word] = np.array(ids, "<i4").tobytes()
-            rows = [b"".join([known[w] for w in words]) for words in texts]
+            fresh = set().union(*texts).difference(known)
+            for word, ids in encode_sorted(model, sorted(mark + w for w in fresh)):
+                known[word[len(mark):]] = array("i", ids).tobytes()
+            rows = [b"".join(map(known.__getitem__, words)) for words in texts]
             ends = np.cumsum([0] + [len(r) // 4 for r in rows]).astype(np.int32)
             flat = pa.array(np.frombuffer(b"".join(rows), "<i4"), pa.int32())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.ListArray.from_arrays(pa.array(ends), flat)], [*keep, "ids"])
@@ -236,8 +287,8 @@ def _decode(path: str):
     def run(batches):
         model, _ = _model(path)
         for batch in batches:
-            texts = [decode(model, ids or []) for ids in batch.column(batch.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], [*batch.schema.names[:-1], "text"])
+            texts = decode_rows(model, *_id_rows(batch.column(batch.num_columns - 1)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.binary()).cast(pa.string())], [*batch.schema.names[:-1], "text"])
 
     return run
 
@@ -252,14 +303,11 @@ def _digest(path: str):
     def run(batches):
         model, _ = _model(path)
         for batch in batches:
-            column = batch.column("ids")
-            ends = column.offsets.to_numpy()
-            flat = column.values.to_numpy()
+            flat, ends = _id_rows(batch.column("ids"))
             rows = [flat[lo:hi] for lo, hi in zip(ends[:-1], ends[1:])]
-            same = [decode(model, i.tolist()) == (t or "").replace(MARK, " ") for i, t in zip(rows, batch.column("text").to_pylist())]
+            same = [back == t.replace(BLOCK, b" ") for back, t in zip(decode_rows(model, flat, ends), as_bytes(batch.column("text")))]
             sha = [xxhash.xxh3_128_hexdigest(np.ascontiguousarray(i, "<i4").tobytes()) for i in rows]
-            ids = rows
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(map(len, ids), pa.int64()), pa.array(sha), pa.array(same)], ["doc_id", "n_pieces", "ids_hash", "round_trip"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(ends).astype(np.int64)), pa.array(sha), pa.array(same)], ["doc_id", "n_pieces", "ids_hash", "round_trip"])
 
     return run
 

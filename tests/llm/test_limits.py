@@ -7,7 +7,8 @@ import numpy as np
 import pytest
 import zstandard
 
-from evigrid.llm import lm_scoring
+from evigrid.llm import lm_scoring, sentencepiece_codec
+from evigrid.llm.common import table, tokenizer_path
 
 
 def test_lm_head_does_not_pass_the_vocabulary_through_the_driver(spark):
@@ -48,3 +49,37 @@ def test_lm_sums_come_back_from_their_bytes():
         one, two = np.arange(k) * 10**11, -np.arange(k)
         for got, want in zip(lm_scoring._unsqueeze(lm_scoring._squeeze(press, place, one, two), 2), (place, one, two), strict=True):
             assert (got == want).all() and len(got) == k
+
+
+ODD = ["", " ", "  ", "a", " a", "a ", "a b", "a  b", " a   b  ", "a\nb c\n", "▁", "a▁ b", "▁▁a", "日本 語́ 😀", "x\ty \x00z", "<0x41> <s> ⁇ </s>"]
+
+
+def test_codec_words_and_rows():
+    model = sentencepiece_codec.Model(tokenizer_path("piece_bpe_32k.model"))
+    for prefix in (True, False):
+        model.prefix = prefix
+        for t in ODD:
+            assert [("▁" if prefix else "") + w for w in sentencepiece_codec.word_keys(model, t)] == sentencepiece_codec.marked_words(model, t)
+        rng = random.Random(7)
+        some = [*model.byte.values(), *range(40), *(model.id_list("▁") * 20)]
+        rows = [[], *([rng.choice(some) for _ in range(rng.randrange(1, 6))] for _ in range(3000)), [model.byte[b] for b in "▁é😀".encode()]]
+        flat, ends = np.array([9, *(i for r in rows for i in r), 9], np.int32), np.cumsum([1, *map(len, rows)]).astype(np.int32)
+        assert sentencepiece_codec.decode_rows(model, flat, ends) == [sentencepiece_codec.decode(model, r).encode() for r in rows]
+
+
+def test_codec_work_is_by_new_words_and_whole_batches(spark, data, monkeypatch):
+    """Byte pieces (line ends) are decoded with their batch; pairs of pieces are merged once."""
+    import pyarrow as pa
+
+    texts = [r["text"] or "" for r in table(spark, data, "documents").select("text").limit(300).collect()]
+    assert any("\n" in t for t in texts)
+    path = tokenizer_path("piece_bpe_32k.model")
+    sentencepiece_codec._MODELS.pop(path, None)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts), pa.array(texts)], ["doc_id", "text", "_text"])
+    done = list(sentencepiece_codec._encode(path, ["doc_id", "text"])(iter([batch])))
+    merges, merge = [], sentencepiece_codec.Model.merge
+    monkeypatch.setattr(sentencepiece_codec.Model, "merge", lambda self, s: merges.append(s) or merge(self, s))
+    monkeypatch.setattr(sentencepiece_codec, "decode", lambda *_: pytest.fail("a row was decoded piece by piece"))
+    again = list(sentencepiece_codec._encode(path, ["doc_id", "text"])(iter([batch])))
+    assert not merges and again[0].column("ids").equals(done[0].column("ids"))
+    assert all(r for b in sentencepiece_codec._digest(path)(iter(done)) for r in b.column("round_trip").to_pylist())
