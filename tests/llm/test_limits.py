@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 import zstandard
 
-from evigrid.llm import lm_scoring, sentencepiece_codec
+from evigrid.llm import elias_fano, lm_scoring, sentencepiece_codec
 from evigrid.llm.common import table, tokenizer_path
 
 
@@ -51,6 +51,18 @@ def test_lm_sums_come_back_from_their_bytes():
             assert (got == want).all() and len(got) == k
 
 
+def test_elias_fano_finds_alike_by_few_and_many_queries():
+    rng = np.random.default_rng(5)
+    for n, top in [(1, 5), (1000, 10**6), (5000, 2**60)]:
+        v = np.unique(rng.integers(0, top, n).astype(np.uint64))
+        e = elias_fano.EliasFano.build(v)
+        assert (e.whole() == v).all()
+        q = rng.permutation(np.concatenate([v, v + np.uint64(1), rng.integers(0, top + 5, 300).astype(np.uint64)]))
+        at = np.searchsorted(v, q)
+        want = np.where(v[np.minimum(at, len(v) - 1)] == q, at, -1)
+        assert (e.find(q) == want).all() and all((e.find(q[i:i + 1]) == want[i:i + 1]).all() for i in range(0, len(q), 97))
+
+
 ODD = ["", " ", "  ", "a", " a", "a ", "a b", "a  b", " a   b  ", "a\nb c\n", "▁", "a▁ b", "▁▁a", "日本 語́ 😀", "x\ty \x00z", "<0x41> <s> ⁇ </s>"]
 
 
