@@ -132,15 +132,14 @@ def quote_index(quote, chunks) -> Column:
 
 
 def numerals(c) -> Column:
-    """array<struct<value, percent>> of numbers that are not part of an identifier, nor a year without a percent sign."""
+    """array<struct<value, percent>> of numbers that are not part of an identifier, nor a bare year: digits alone, from 1500 to 2100."""
     t = F.regexp_replace(F.coalesce(col(c), F.lit("")), r"(?i)\b(?:table|figure|chunk)\s+\d+", " ")
     # whole words first, so that the digits of an identifier are never read; of a range the start
     words = F.transform(F.regexp_extract_all(t, F.lit(r"[\p{L}\p{N}_.,-]*[\p{L}\p{N}_]%?"), F.lit(0)), lambda w: F.regexp_extract(w, r"^,*([^-]*)", 1))
     plain = F.transform(words, lambda w: F.regexp_replace(w, r"[.,]+$", ""))
     numbers = F.filter(plain, lambda w: w.rlike(r"^(?:\d{1,3}(?:,\d{3})+|\d+(?:\.\d+)?)%?$"))
-    both = F.transform(numbers, lambda w: F.struct(F.regexp_replace(w, "[,%]", "").cast("double").alias("value"), w.endswith("%").alias("percent")))
-    year = lambda x: ~x["percent"] & (x["value"] >= 1500) & (x["value"] <= 2100) & (x["value"] == F.floor(x["value"]))
-    return F.filter(both, lambda x: ~year(x))
+    year = r"^0*(?:1[5-9]\d\d|20\d\d|2100)$"  # 1500.00 and 1,500 are amounts
+    return F.transform(F.filter(numbers, lambda w: ~w.rlike(year)), lambda w: F.struct(F.regexp_replace(w, "[,%]", "").cast("double").alias("value"), w.endswith("%").alias("percent")))
 
 
 def missing_numerals(claim, sources) -> Column:
