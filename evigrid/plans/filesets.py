@@ -94,7 +94,7 @@ _WORKS = "works as (select 'W' || p_partkey as external_id, p_name || ' ' || p_t
 
 
 def _works(spark, d):
-    return table(spark, d, "part").select(F.concat(F.lit("W"), S("p_partkey")).alias("external_id"), F.concat_ws(" ", "p_name", "p_type").alias("title"), (1980 + F.col("p_size")).cast("int").alias("year"), (F.round("p_retailprice").cast("int") % 90).alias("citation_count"))
+    return table(spark, d, "part").select(F.concat(F.lit("W"), S("p_partkey")).alias("external_id"), F.concat_ws(" ", "p_name", "p_type").alias("title"), (1980 + F.col("p_size")).cast("int").alias("year"), (F.rint("p_retailprice").cast("int") % 90).alias("citation_count"))
 
 
 @query(f"""with {_WORKS} select * from works where contains(lower(title), 'ring') and contains(lower(title), 'economy') and year >= 1990 and year <= 2025 and citation_count >= 5 order by citation_count desc, external_id limit 25""")
