@@ -4,6 +4,8 @@ Blocks and lines are rows in order. A list is what lies between its heading and
 island of lines that begins where a line looks like an author. Both are running sums over a document's rows,
 so no document is gathered by hand.
 """
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,13 +28,14 @@ def repaired(c) -> Column:
     return F.regexp_replace(F.regexp_replace(t, ZERO_WIDTH, ""), r"(?i)([A-Za-z])-\s*\n\s*(?!(?:and|or|to|but|nor)\b)([A-Za-z])", "$1$2")
 
 
-def wrapped_entries(lists: DataFrame) -> DataFrame:
+def wrapped_entries(lists: DataFrame, repair: Callable[[str], Column] = repaired) -> DataFrame:
     """doc, entry, raw: the entries of lists(doc, text), from 1, each from all its lines, blanks between.
+    repair joins the words that lines part.
 
     A line that does not begin like an entry goes on with the one before; the first line begins one
     whatever it is. Blank lines and the list's own heading are passed over.
     """
-    lines = lists.select("doc", F.posexplode(F.split(repaired("text"), r"\r\n|\n|\r", -1)).alias("at", "line")).withColumn("line", F.regexp_replace("line", r"^\s+|\s+$", ""))
+    lines = lists.select("doc", F.posexplode(F.split(repair("text"), r"\r\n|\n|\r", -1)).alias("at", "line")).withColumn("line", F.regexp_replace("line", r"^\s+|\s+$", ""))
     lines = lines.where((F.col("line") != "") & ~F.col("line").rlike("(?i)^references$"))
     w = Window.partitionBy("doc").orderBy("at")
     opens = F.when(F.col("line").rlike(ENTRY_START) | F.lag("line").over(w).isNull(), 1).otherwise(0)
