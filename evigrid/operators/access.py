@@ -2,7 +2,11 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import small
+
 ACTIVE = ("pending", "running")
+#: Pairs of rows and members that a task makes, and parts that a large team's rows are dealt over.
+PAIRS_A_TASK, CELLS = 4_000_000, 64
 
 
 def with_conflicts(requests: DataFrame, jobs: DataFrame, scope: list[str], job: str = "job") -> DataFrame:
@@ -34,10 +38,37 @@ def job_answers(requests: DataFrame, jobs: DataFrame) -> DataFrame:
 
 def visible(rows: DataFrame, members: DataFrame, id_: str) -> DataFrame:
     """user, row id, role: rows(id, owner, team) that each user may read: their own, and those of teams that
-    members(team, user, role) puts them in. An owner's role is owner, whatever the team says."""
+    members(team, user, role) puts them in. An owner's role is owner, whatever the team says.
+
+    A team's rows times its members may be far more than either, so pairs are made where they are given out:
+    each member is in a team once, and only pairs of ids that stand in several rows need to be brought together.
+    """
     own = rows.where("owner is not null").select(F.col("owner").alias("user"), id_, F.lit("owner").alias("role"))
-    shared = rows.where("team is not null").select(id_, "team", F.col("owner").alias("_owner")).join(members.select("team", "user", "role"), "team").where(~F.col("user").eqNullSafe(F.col("_owner"))).select("user", id_, "role")
-    return own.unionByName(shared.groupBy("user", id_).agg(F.min("role").alias("role")))
+    of = members.where("team is not null").groupBy("team", "user").agg(F.min("role").alias("role"))
+    shared = rows.where("team is not null").select(id_, "team", F.col("owner").alias("_owner"))
+    sizes = shared.groupBy("team").agg(F.count(F.lit(1)).alias("r")).join(of.groupBy("team").agg(F.count(F.lit(1)).alias("m")), "team")
+    pairs = sizes.agg(F.sum(F.col("r").cast("double") * F.col("m"))).first()[0] or 0.0
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, int(pairs / PAIRS_A_TASK) + 1)
+    again = shared.groupBy(id_).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(id_)
+
+    def met(some):
+        both = dealt(some, of, tasks)
+        return both.where(~F.col("user").eqNullSafe(F.col("_owner"))).select("user", id_, "role")
+
+    if again.isEmpty():
+        return own.unionByName(met(shared))
+    several = met(shared.join(again, id_, "left_semi")).groupBy("user", id_).agg(F.min("role").alias("role"))
+    return own.unionByName(met(shared.join(again, id_, "left_anti"))).unionByName(several)
+
+
+def dealt(shared: DataFrame, members: DataFrame, tasks: int) -> DataFrame:
+    """shared joined with members by team, the rows of every team dealt over all tasks."""
+    few = small(members)
+    if few is not members:
+        return shared.repartition(tasks).join(few, "team")
+    cell = F.pmod(F.xxhash64(*shared.columns), F.lit(CELLS)).cast("int")
+    copies = members.withColumn("_cell", F.explode(F.sequence(F.lit(0), F.lit(CELLS - 1))))
+    return shared.withColumn("_cell", cell).repartition(tasks, "team", "_cell").join(copies, ["team", "_cell"]).drop("_cell")
 
 
 def projected(rows: DataFrame, metadata: str, path: str, fields: dict[str, str]) -> DataFrame:
