@@ -58,11 +58,14 @@ def compliance_checks(spark, d):
 def evidence_acceptance(spark, d):
     """Quotes of two sentences of each document, some cut short, looked for in its two halves."""
     from ..operators.chunks import sentences_of
+    from ..operators.claims import computed
 
-    doc = table(spark, d, "documents").select("doc_id", "text", sentences_of("text").alias("s")).where("size(s) > 3")
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    # the filter behind computed(), so that sentences are not cut for it and again for the quotes
+    doc = computed(docs.select("doc_id", F.slice(sentences_of("text"), 1, 4).alias("s"))).where("size(s) > 3")
     quote = F.concat_ws(" ", F.element_at("s", 1), F.element_at("s", 2))
     items = doc.select(F.col("doc_id").alias("paper_id"), F.explode(F.array(F.struct(F.lit(0).alias("item"), quote.alias("quote")), F.struct(F.lit(1).alias("item"), F.left(quote, F.length(quote) - 4).alias("quote")))).alias("q")).select("paper_id", "q.*", F.lit(0).alias("chunk_index"))
-    chunks = doc.select(F.col("doc_id").alias("paper_id"), F.lit(0).alias("idx"), "text")
+    chunks = docs.select(F.col("doc_id").alias("paper_id"), F.lit(0).alias("idx"), "text")
     return evidence.acceptance(evidence.located_items(items, chunks), ["item"])
 
 
