@@ -2,11 +2,9 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.tables import small
+from .joins import dealt
 
 ACTIVE = ("pending", "running")
-#: Pairs of rows and members that a task makes, and parts that a large team's rows are dealt over.
-PAIRS_A_TASK, CELLS = 4_000_000, 64
 
 
 def with_conflicts(requests: DataFrame, jobs: DataFrame, scope: list[str], job: str = "job") -> DataFrame:
@@ -48,11 +46,10 @@ def visible(rows: DataFrame, members: DataFrame, id_: str) -> DataFrame:
     shared = rows.where("team is not null").select(id_, "team", F.col("owner").alias("_owner"))
     sizes = shared.groupBy("team").agg(F.count(F.lit(1)).alias("r")).join(of.groupBy("team").agg(F.count(F.lit(1)).alias("m")), "team")
     pairs = sizes.agg(F.sum(F.col("r").cast("double") * F.col("m"))).first()[0] or 0.0
-    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, int(pairs / PAIRS_A_TASK) + 1)
     again = shared.groupBy(id_).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(id_)
 
     def met(some):
-        both = dealt(some, of, tasks)
+        both = dealt(some, of, "team", pairs)
         return both.where(~F.col("user").eqNullSafe(F.col("_owner"))).select("user", id_, "role")
 
     if again.isEmpty():
@@ -61,16 +58,6 @@ def visible(rows: DataFrame, members: DataFrame, id_: str) -> DataFrame:
     return own.unionByName(met(shared.join(again, id_, "left_anti"))).unionByName(several)
 
 
-def dealt(shared: DataFrame, members: DataFrame, tasks: int) -> DataFrame:
-    """shared joined with members by team, the rows of every team dealt over all tasks."""
-    few = small(members)
-    if few is not members:
-        return shared.repartition(tasks).join(few, "team")
-    cell = F.pmod(F.xxhash64(*shared.columns), F.lit(CELLS)).cast("int")
-    copies = members.withColumn("_cell", F.explode(F.sequence(F.lit(0), F.lit(CELLS - 1))))
-    return shared.withColumn("_cell", cell).repartition(tasks, "team", "_cell").join(copies, ["team", "_cell"]).drop("_cell")
-
-
 def projected(rows: DataFrame, metadata: str, path: str, fields: dict[str, str]) -> DataFrame:
     """rows with the fields of one object inside a JSON column, typed; null where the text is no JSON, has no
     such object or no such field. Only the fields named are parsed."""
